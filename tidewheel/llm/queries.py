@@ -2,16 +2,88 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import simhash
+from pyspark.sql import functions as F
+
+from tidewheel.llm import packing, simhash, topk, url_filter
 from tidewheel.llm.common import table
 
 
+def _tokenizer() -> dict:
+    import public_tokenizers
+
+    return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)}
+
+
+def op1_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), longest=1024, end=0, **_tokenizer())
+
+
+def op3_exact_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64.0)
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=4, shingle=4)
 
 
+#: The rules (host, path, verdict) of the query.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op8_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.rules_frame(spark, URL_RULES), default="allow").select("page_id", "host", "path", "rule", "verdict")
+
+
+OP3_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+OP8_SQL = r"""
+with a as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), b as (
+  select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from a
+), c as (
+  select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from b
+), d as (
+  select page_id, host, path, '.' || host as h from c
+), e as (
+  select page_id, host, path, case
+    when h like '%.www.example.com' and path like '/en/%' then 'www.example.com/en/'
+    when h like '%.example.com' and path like '/en/%' then 'example.com/en/'
+    when h like '%.net' and path like '/es/%' then 'net/es/'
+    when h like '%.net' and path like '/fr/%' then 'net/fr/'
+    when h like '%.com' and path like '/%' then 'com/' end as rule from d
+)
+select page_id, host, path, rule, case when rule in ('example.com/en/', 'net/es/', 'net/fr/') then 'block' else 'allow' end as verdict from e
+"""
+
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op8_url_filters": op8_url_filters,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_exact_top_k": OP3_SQL,
+    "op8_url_filters": OP8_SQL,
+}
