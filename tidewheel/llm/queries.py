@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewheel.llm import packing, simhash, topk, url_filter
+from tidewheel.llm import packing, quality, simhash, topk, url_filter
 from tidewheel.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=4, shingle=4)
 
 
+def op5_quality_classifier(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"), "quality", threshold=0.3)
+
+
 #: The rules (host, path, verdict) of the query.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -80,6 +84,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op8_url_filters": op8_url_filters,
 }
 
