@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewheel.llm import packing, quality, simhash, topk, url_filter
+from tidewheel.llm import packing, quality, simhash, topk, toxicity, url_filter
 from tidewheel.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), longest=1024, end=0, **_tokenizer())
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"), "toxic", threshold=0.5)
+
+
 def op3_exact_top_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64.0)
@@ -82,6 +86,7 @@ select page_id, host, path, rule, case when rule in ('example.com/en/', 'net/es/
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_toxicity": op2_toxicity,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
