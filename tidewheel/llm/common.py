@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,16 +11,22 @@ from pyspark.sql import functions as F
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the reliable checkpoint folder that all executors share, and read from there.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; only where none is
-    set (tests on one machine) a temporary one is made.
-    """
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; only where none is set (tests on one machine), a temporary one."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """A new folder's path within the shared checkpoint folder."""
+    return f"{_shared(spark).rstrip('/')}/{uuid.uuid4()}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the reliable checkpoint folder that all executors share, and read from there."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

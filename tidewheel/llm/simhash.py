@@ -17,6 +17,7 @@ compared, exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -87,27 +88,58 @@ def _vantage_points(mask: int, number: int) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(f"vantage {mask} {i}") & mask) for i in range(number)]
 
 
-def _links(fp: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (from a, from b) of fingerprints within the radius; a and b are index arrays without common members, or the same."""
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of words; the arguments are broadcast against one another."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) if x.shape[-1] > 1 else np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int64)
+
+
+def _pairs(fp: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (from a, from b) of fingerprints within the radius."""
+    if not len(a) or not len(b):
+        return []
     pivot = fp[a[0]]
-    da, db = (np.bitwise_count(fp[x] ^ pivot).astype(np.int64) for x in (a, b))
+    da, db = _apart(fp[a], pivot), _apart(fp[b], pivot)
     a, b = a[np.argsort(da, kind="stable")], b[np.argsort(db, kind="stable")]
     da, db = np.sort(da), np.sort(db)
     out = []
     for d in np.unique(da):  # a branch, and the branches that its boundary overlaps
         x = a[np.searchsorted(da, d) : np.searchsorted(da, d, "right")]
         y = b[np.searchsorted(db, d - radius) : np.searchsorted(db, d + radius, "right")]
-        for at in range(0, len(x), 512):
-            i, j = np.nonzero(np.bitwise_count(fp[x[at : at + 512], None] ^ fp[y][None, :]) <= radius)
+        for at in range(0, len(x) if len(y) else 0, 256):
+            i, j = np.nonzero(_apart(fp[x[at : at + 256], None], fp[y][None, :]) <= radius)
             out.append((x[at + i], y[j]))
+    return out
+
+
+def _links(fp: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that tie together what all pairs (from a, from b) within the radius would; a and b are index arrays without common members, or the same.
+
+    Members within the radius of a vantage point are linked to it, so pairs of two of them
+    need no comparison: a dense group costs little more than its size.
+    """
+    same, pivot = a is b, a[0]
+    near_a = _apart(fp[a], fp[pivot]) <= radius
+    near_b = near_a if same else _apart(fp[b], fp[pivot]) <= radius
+    tied = a[near_a] if same else np.concatenate([a[near_a], b[near_b]])
+    out = [(np.full(len(tied), pivot), tied), *_pairs(fp, a[~near_a], b, radius)]
+    if not same:
+        out += _pairs(fp, a[near_a], b[~near_b], radius)
     i, j = (np.concatenate([o[k] for o in out]) for k in (0, 1))
     different = i != j
     return i[different], j[different]
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Fingerprints as rows of words, from a column of numbers or of arrays of numbers."""
+    flat = column.combine_chunks()
+    if pa.types.is_list(flat.type):
+        return flat.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(flat), -1)
+    return flat.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+
+
 def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     for rows, bounds in groups(batches):
-        fp = rows.column("fp").to_numpy().view(np.uint64)
+        fp = _matrix(rows.column("fp"))
         node = rows.column("node").to_numpy()
         lo, hi, chunk = (rows.column(c).to_numpy() for c in ("lo", "hi", "chunk"))
         sizes = np.diff(bounds)
@@ -115,9 +147,9 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         found = []
         small = np.flatnonzero((sizes <= SMALL)[group])
         for shift in range(1, min(SMALL, int(sizes.max(initial=1)))):
-            i = small[small + shift < len(fp)]
-            i = i[group[i] == group[i + shift]]
-            i = i[np.bitwise_count(fp[i] ^ fp[i + shift]) <= radius]
+            small = small[small + shift < len(fp)]
+            small = small[group[small] == group[small + shift]]
+            i = small[_apart(fp[small], fp[small + shift]) <= radius]
             found.append((i, i + shift))
         for g in np.flatnonzero(sizes > SMALL):
             at = np.arange(bounds[g], bounds[g + 1])
@@ -152,11 +184,77 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     masks = layout(nodes.count(), radius)
     paths = []
     for t, mask in enumerate(masks):
-        levels = [F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(v))) for v in _vantage_points(mask, mask.bit_count() * 2 // 3)]
-        paths.append(F.xxhash64(F.lit(t), *levels))
+        paths.append(_path(t, F.col("fp"), mask))
+    out = _classed(fps, nodes, paths, radius)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _path(tree: int, word, mask: int):
+    """The shard of a tree: the hash of the distances, on the mask's bits, from its vantage points."""
+    levels = [F.bit_count(word.bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(v))) for v in _vantage_points(mask, mask.bit_count() * 2 // 3)]
+    return F.xxhash64(F.lit(tree), *levels)
+
+
+def _classed(fps: DataFrame, nodes: DataFrame, paths: list, radius: int) -> DataFrame:
+    """fps (doc_id, fp) with component_id; nodes: (fp, node) of the distinct fingerprints."""
     members = nodes.select("fp", "node", F.explode(F.array(*paths)).alias("shard"))
     edges = deal(members, "fp").select("shard", "lo", "hi", "chunk", "fp", "node").mapInArrow(lambda it: _compare(it, radius), "a bigint, b bigint")
     found = components(edges)
     classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = fps.join(classes, "fp", "left")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def wide_fingerprint(text: str | None, words: int, shingle: int) -> np.ndarray:
+    """A fingerprint of `words` times 64 bits: each word from another mixing of the shingles' hashes."""
+    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    if not tokens:
+        return np.zeros(words, np.uint64)
+    whole = b" ".join(tokens)
+    ends = np.cumsum([len(w) + 1 for w in tokens]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(tokens) - shingle + 1)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(whole[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(tokens)) - 1 :].tolist())], dtype=np.uint64)
+    ones = np.zeros((words, BITS), dtype=np.int64)
+    for at in range(0, len(hashes), 8192):
+        part = hashes[at : at + 8192]
+        for w in range(words):
+            mixed = (part ^ np.uint64(0x9E3779B97F4A7C15 * (2 * w + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+            mixed ^= mixed >> np.uint64(32)
+            ones[w] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64).reshape(words)
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 6, least_block: int = 12) -> DataFrame:
+    """(doc_id, component_id) of near-duplicates by Jaccard similarity of their word shingles, estimated from wide fingerprints.
+
+    Texts whose shingles have that similarity differ by an angle, and so in a share p of
+    the bits of a fingerprint: cos(pi p) = 2 s / (1 + s) for sets alike in size. Texts link
+    if they differ in at most that share and two deviations more; unrelated ones differ in
+    half the bits, more than twelve deviations away. At such distances no set of blocks is
+    sure to agree, so there is a tree for each block of about the binary logarithm of the
+    number of fingerprints: with 384 bits and blocks of 12 a pair of similarity 0.8 misses
+    all 32 trees in 1 of 130 cases, one of 0.9 in 1 of 18,000.
+
+    The cases of null, empty and repeated texts and ids are those of `near_duplicates`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(x.as_py(), words, shingle) for x in batch.column(1)]
+            flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            offsets = pa.array(np.arange(0, len(flat) + 1, words), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))], names=["doc_id", "fp"])
+
+    fps = cut(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp array<bigint>"))
+    nodes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
+    block = min(32, max(least_block, (nodes.count() // AIM).bit_length()))
+    bits = words * BITS
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    paths = []
+    for t in range(words * (BITS // block)):
+        word, at = divmod(t, BITS // block)
+        paths.append(_path(t, F.get("fp", F.lit(word)), ((1 << block) - 1) << (block * at)))
+    return _classed(fps, nodes, paths, radius).select("doc_id", "component_id")

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel.llm.common import held_out
 
@@ -277,21 +278,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     return fit([t or "" for t in table.column("text").to_pylist()], (np.array(table.column("label").to_pylist(), dtype=np.int64) > 0).astype(np.int64))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], sent, text: int) -> Iterator[pa.RecordBatch]:
     model = sent.value
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            score = model.score(part.column(part.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], names=[*part.schema.names[:-1], "score"])
+            score = model.score(part.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "_score"])
 
 
-def scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and the score of each text."""
+def scores(docs: DataFrame, model: Model) -> DataFrame:
+    """docs and, as `_score`, the score of each text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    kind = rows.drop("_text").schema.add("score", "double")
-    return rows.mapInArrow(lambda it: _scored(it, sent), kind)
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    at = rows.columns.index("text")
+    return rows.mapInArrow(lambda it: _scored(it, sent, at), T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, rows: int = 1500) -> DataFrame:
@@ -303,5 +304,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
     docs are ignored.
     """
     model = train(docs, labels, label, rows)
-    out = scores(docs.select(F.col("doc_id").cast("bigint"), "text"), model, ["doc_id"])
-    return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    out = scores(docs.select(F.col("doc_id").cast("bigint"), "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= threshold, 1).otherwise(0).alias("predicted"))
