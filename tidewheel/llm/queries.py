@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewheel.llm import line_dedup, mixing, packing, quality, simhash, topk, toxicity, url_filter
+from tidewheel.llm import embed_dedup, line_dedup, mixing, packing, quality, simhash, topk, toxicity, url_filter
 from tidewheel.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "block", "release", "deadline", "slot")
 
 
+def op7_embedding_near_dedup(spark, sf_dir):
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), threshold=0.98)
+
+
 #: The rules (host, path, verdict) of the query.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -160,6 +164,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_line_dedup": op6_line_dedup,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
 }
