@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewheel.llm import embed_dedup, line_dedup, mixing, packing, quality, simhash, topk, toxicity, url_filter
+from tidewheel.llm import embed_dedup, line_dedup, mixing, packing, quality, simhash, suffix_dedup, topk, toxicity, url_filter
 from tidewheel.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op7_embedding_near_dedup(spark, sf_dir):
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), threshold=0.98)
 
 
+def op10_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: The rules (host, path, verdict) of the query.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -167,6 +171,7 @@ QUERIES = {
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 SQL = {
