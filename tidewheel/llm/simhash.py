@@ -80,12 +80,8 @@ def layout(n: int, radius: int) -> list[int]:
     return [sum(x) for x in combinations(single, keep)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _vantage_points(mask: int, number: int) -> list[int]:
-    return [_signed(xxhash.xxh64_intdigest(f"vantage {mask} {i}") & mask) for i in range(number)]
+    return [xxhash.xxh64_intdigest(f"vantage {mask} {i}") & mask for i in range(number)]
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -129,9 +125,9 @@ def _links(fp: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[n
     return i[different], j[different]
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Fingerprints as rows of words, from a column of numbers or of arrays of numbers."""
-    flat = column.combine_chunks()
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if pa.types.is_list(flat.type):
         return flat.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(flat), -1)
     return flat.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
@@ -181,23 +177,35 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     """
     fps = cut(fingerprints(docs, shingle))
     nodes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    masks = layout(nodes.count(), radius)
-    paths = []
-    for t, mask in enumerate(masks):
-        paths.append(_path(t, F.col("fp"), mask))
-    out = _classed(fps, nodes, paths, radius)
+    out = _classed(fps, nodes, [(0, mask) for mask in layout(nodes.count(), radius)], radius)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _path(tree: int, word, mask: int):
-    """The shard of a tree: the hash of the distances, on the mask's bits, from its vantage points."""
-    levels = [F.bit_count(word.bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(v))) for v in _vantage_points(mask, mask.bit_count() * 2 // 3)]
-    return F.xxhash64(F.lit(tree), *levels)
+_MEMBERS = "shard bigint, node bigint, fp "
+
+
+def _members(batches: Iterator[pa.RecordBatch], trees: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Each (fp, node) once for each tree (a word and a mask), with the shard that its distances from the tree's vantage points name."""
+    points = [np.array(_vantage_points(mask, mask.bit_count() * 2 // 3), dtype=np.uint64) for _, mask in trees]
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            batch = whole.slice(at, 2048)
+            fp = _matrix(batch.column(0))
+            shards = np.empty((len(trees), len(fp)), dtype=np.uint64)
+            for t, (word, mask) in enumerate(trees):
+                code = np.full(len(fp), t + 1, dtype=np.uint64)
+                part = fp[:, word] & np.uint64(mask)
+                for v in points[t]:  # a level of the tree: the branch of each distance
+                    code = (code ^ np.bitwise_count(part ^ v).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    code ^= code >> np.uint64(31)
+                shards[t] = code
+            each = pa.array(np.tile(np.arange(len(fp)), len(trees)))
+            yield pa.RecordBatch.from_arrays([pa.array(shards.ravel().view(np.int64)), batch.column(1).take(each), batch.column(0).take(each)], names=["shard", "node", "fp"])
 
 
-def _classed(fps: DataFrame, nodes: DataFrame, paths: list, radius: int) -> DataFrame:
+def _classed(fps: DataFrame, nodes: DataFrame, trees: list[tuple[int, int]], radius: int) -> DataFrame:
     """fps (doc_id, fp) with component_id; nodes: (fp, node) of the distinct fingerprints."""
-    members = nodes.select("fp", "node", F.explode(F.array(*paths)).alias("shard"))
+    members = nodes.select("fp", "node").mapInArrow(lambda it: _members(it, trees), _MEMBERS + nodes.schema["fp"].dataType.simpleString())
     edges = deal(members, "fp").select("shard", "lo", "hi", "chunk", "fp", "node").mapInArrow(lambda it: _compare(it, radius), "a bigint, b bigint")
     found = components(edges)
     classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
@@ -253,8 +261,5 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: i
     bits = words * BITS
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
-    paths = []
-    for t in range(words * (BITS // block)):
-        word, at = divmod(t, BITS // block)
-        paths.append(_path(t, F.get("fp", F.lit(word)), ((1 << block) - 1) << (block * at)))
-    return _classed(fps, nodes, paths, radius).select("doc_id", "component_id")
+    trees = [(word, ((1 << block) - 1) << (block * at)) for word in range(words) for at in range(BITS // block)]
+    return _classed(fps, nodes, trees, radius).select("doc_id", "component_id")
