@@ -15,6 +15,7 @@ long words in overlapping windows, and runs of single characters put together.
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ PATTERNS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 CLASSES = 32
 LETTERS, START, END, DIGIT, SIGN, OTHER = range(1, 27), 27, 28, 29, 30, 31
 WINDOW, STEP = 24, 12
-LANDMARKS = 320
+LANDMARKS = 256
 #: Deviations from which a word of toxic documents is a witness by its frequency alone.
 SURE = 4.0
 #: Part of a document's highest surprise from which its other words are witnesses too.
@@ -93,21 +94,22 @@ def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unit, key & 32767, value / norm[unit]
 
 
-def _dense(units: list[str]) -> np.ndarray:
+def columns(units: list[str]) -> np.ndarray:
+    """The feature vectors of units, a column for each."""
     unit, code, value = features(units)
-    out = np.zeros((len(units), CLASSES**3), dtype=np.float32)
-    out[unit, code] = value
+    out = np.zeros((CLASSES**3, len(units)), dtype=np.float32)
+    out[code, unit] = value
     return out
 
 
 def kernel(units: list[str], landmarks: np.ndarray) -> np.ndarray:
     """Kernel values of units against landmarks (a feature vector in each column)."""
     out = np.zeros((len(units), landmarks.shape[1]))
-    for at in range(0, len(units), 512):
-        unit, code, value = features(units[at : at + 512])
+    for at in range(0, len(units), 128):
+        unit, code, value = features(units[at : at + 128])
         if len(unit):
             first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-            out[at + unit[first]] = np.add.reduceat(landmarks[code] * value[:, None], first, axis=0)
+            out[at + unit[first]] = np.add.reduceat(landmarks[code] * value.astype(np.float32)[:, None], first, axis=0)
     return out
 
 
@@ -156,11 +158,6 @@ def _windows(word: str) -> list[str]:
     return [bare] if len(bare) <= WINDOW + STEP else [bare[at : at + WINDOW] for at in range(0, len(bare) - STEP, STEP)]
 
 
-def _shifted(words: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    unit, code, value = features(list(words[at : at + 8192]))
-    return unit + at, code, value
-
-
 class Model:
     """Weights of subsequences, and the logistic scale of a document's highest unit."""
 
@@ -216,19 +213,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model:
     """A model from labelled texts; with labels of one kind only, every score is near that label."""
     if not len(texts) or toxic.min() == toxic.max():
-        return Model(np.zeros(CLASSES**3), 0.0, 1e-3, 0.0 if not len(texts) else (3e3 if toxic.max() == 0 else -3e3))
+        known = len(texts) > 0
+        return Model(np.zeros(CLASSES**3), 0.0, 1e-3 * known, 3e3 if known and toxic.max() == 0 else -3e3)
     rng = np.random.default_rng(11)
     index: dict[str, int] = {}
     bags = [np.array(sorted({index.setdefault(x, len(index)) for w in units(t) for x in _windows(w) if x}), dtype=np.int64) for t in texts]
     words = np.array(list(index), dtype=object)
     if not len(words):
-        return Model(np.zeros(CLASSES**3), 0.0, 1e-3, 0.0)
+        return Model(np.zeros(CLASSES**3), 0.0, 0.0, 0.0)
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     pos, neg = (np.bincount(np.concatenate([b for b, y in zip(bags, toxic) if y == k] + [np.zeros(0, np.int64)]), minlength=len(words)) for k in (1, 0))
     share = (pos + neg + 1) / (n1 + n0 + 2)
     # How far a word's share of toxic documents lies above that of the others, in deviations.
     surprise = (pos / n1 - neg / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    unit, code, value = (np.concatenate(x).astype(t) for x, t in zip(zip(*(_shifted(words, at) for at in range(0, len(words), 8192))), (np.int32, np.int32, np.float32)))
     clean = np.flatnonzero(neg)
     picked = np.union1d(clean[np.argsort(-neg[clean], kind="stable")[:1500]], rng.permutation(clean)[:3000])
     marked = (surprise >= SURE) & (pos / n1 >= 4 * (neg + 1) / n0)
@@ -248,7 +245,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model:
         no = np.setdiff1d(np.union1d(picked, hard), yes)
         top = yes[np.argsort(-count[yes], kind="stable")[: LANDMARKS // 2]]
         marks = np.concatenate([top, rng.permutation(no)[: LANDMARKS - len(top)]])
-        vectors = _dense(list(words[marks])).T.copy()
+        vectors = columns(list(words[marks]))
         spread, basis = np.linalg.eigh((vectors.T @ vectors).astype(np.float64))
         good = spread > 1e-4 * spread.max()
         root = basis[:, good] / np.sqrt(spread[good])
@@ -256,26 +253,34 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model:
         y = np.where(np.arange(len(x)) < len(yes), 1.0, -1.0)
         cost = np.concatenate([0.5 * np.minimum(count[yes], 20), np.full(len(no), 0.5)])
         w = _svm(x, y, cost)
-        model = Model(vectors.astype(np.float64) @ (root @ w[:-1]), float(w[-1]), 1.0, 0.0)
-        raw = np.bincount(unit, model.weights[code] * value, minlength=len(words)) + model.bias
+        weights = np.concatenate([vectors[at : at + 4096].astype(np.float64) @ (root @ w[:-1]) for at in range(0, len(vectors), 4096)])
+        model = Model(weights, float(w[-1]), 1.0, 0.0)
+        raw = np.concatenate([model.raw(list(words[at : at + 4096])) for at in range(0, len(words), 4096)])
         hard = np.unique(np.array([b[raw[b].argmax()] for b, y in zip(bags, toxic) if not y and len(b)], dtype=np.int64))
-    model.slope, model.middle = _logistic(model.highest(texts), toxic)
-    model.known = {}
+    highest = np.array([raw[b].max() if len(b) else -np.inf for b in bags])
+    model.slope, model.middle = _logistic(highest, toxic)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 1500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 800) -> Model:
     """A model from at most `rows` toxic and `rows` other labelled documents, chosen by a hash of their ids, none held out.
 
-    That sample (bounded by `rows`) is all that reaches the driver.
+    That sample, bounded by `rows`, goes to one task; only the model reaches the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.where("label > 0").orderBy(*order).limit(rows).union(known.where("label <= 0").orderBy(*order).limit(rows))
     # At most 2 * rows ids and labels: a broadcast of known size.
     found = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    table = found.orderBy("doc_id", "text").limit(4 * rows).toArrow()
-    return fit([t or "" for t in table.column("text").to_pylist()], (np.array(table.column("label").to_pylist(), dtype=np.int64) > 0).astype(np.int64))
+    made = found.repartition(1).mapInArrow(_fitted, "model binary").first()
+    return pickle.loads(made.model) if made else fit([], np.zeros(0))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fits the model where the sample is, on one executor; repeated rows count once."""
+    rows = sorted({(i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns))})
+    model = fit([t for _, t, _ in rows], np.array([y > 0 for _, _, y in rows], dtype=np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], sent, text: int) -> Iterator[pa.RecordBatch]:
@@ -295,7 +300,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(lambda it: _scored(it, sent, at), T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, rows: int = 1500) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, rows: int = 800) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
     Whole texts are scored. Null and empty texts have no unit and score lowest. Labels of
