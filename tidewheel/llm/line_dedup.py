@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import cut
+from tidewheel.llm.common import checkpoint_folder, cut
 
 LEADING, AGREE, LEAST_TOKENS, LEAST_DOCS = 3, 0.8, 4, 3
 
@@ -34,14 +34,23 @@ def _lines(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
     return each.select("_k", "_doc", "pos", F.xxhash64(F.size("t"), F.slice("t", 1, leading)).alias("leaf"), F.xxhash64("t").alias("line"))
 
 
-def _templates(docs: DataFrame, lines: DataFrame, agree: float, least_docs: int) -> DataFrame:
+def _candidates(docs: DataFrame, leading: int, least_tokens: int, least_docs: int) -> DataFrame:
+    """The lines of leaves that hold least_docs lines at least; no template of another leaf can recur. Written once, by columns."""
+    spark, folder = docs.sparkSession, checkpoint_folder(docs.sparkSession)
+    _lines(docs, leading, least_tokens).write.parquet(f"{folder}/lines")
+    lines = spark.read.parquet(f"{folder}/lines")
+    full = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("leaf")
+    lines.join(full, "leaf", "left_semi").write.parquet(f"{folder}/candidates")
+    return spark.read.parquet(f"{folder}/candidates")
+
+
+def _templates(docs: DataFrame, lines: DataFrame, agree: float) -> DataFrame:
     """(line, template) for lines whose template is led by another line of the leaf."""
-    distinct = lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("_doc", "pos", "_k")).alias("at"))
-    led = distinct.groupBy("leaf").agg(F.count("*").alias("m"), F.sum("n").alias("rows"), F.min(F.struct(-F.col("n"), "at", "line")).alias("lead"))
-    led = led.where((F.col("m") > 1) & (F.col("rows") >= least_docs)).select("leaf", F.col("lead.line").alias("leader"))
+    distinct = cut(lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("_doc", "pos", "_k")).alias("at")))
+    led = distinct.groupBy("leaf").agg(F.count("*").alias("m"), F.min(F.struct(-F.col("n"), "at", "line")).alias("lead"))
+    led = led.where(F.col("m") > 1).select("leaf", F.col("lead.line").alias("leader"))
     wanted = distinct.join(led, "leaf").groupBy(F.col("at._k").alias("_k")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "leaf", "line", "leader")).alias("of"))
-    texts = docs.select("_k", F.col("text").cast("string").alias("text"))
-    found = wanted.join(texts, "_k").select(F.split("text", "\n").alias("all"), F.explode("of").alias("of"))
+    found = wanted.join(docs.select("_k", F.col("text").cast("string").alias("text")), "_k").select(F.split("text", "\n").alias("all"), F.explode("of").alias("of"))
     variants = cut(found.select("of.leaf", "of.line", "of.leader", _tokens(F.get("all", "of.pos")).alias("t")).dropDuplicates(["line"]))
     heads = variants.where("line = leader").select("leaf", F.col("t").alias("lt"))
     alike = F.size(F.filter(F.zip_with("t", "lt", lambda a, b: a == b), lambda x: x)) >= F.lit(agree) * F.size("t")
@@ -50,8 +59,8 @@ def _templates(docs: DataFrame, lines: DataFrame, agree: float, least_docs: int)
 
 def recurring(docs: DataFrame, leading: int = LEADING, agree: float = AGREE, least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(_k, drop array<int>): by document key, the places of lines whose template recurs and stays elsewhere."""
-    lines = cut(_lines(docs, leading, least_tokens))
-    templates = _templates(docs, lines, agree, least_docs)
+    lines = _candidates(docs, leading, least_tokens, least_docs)
+    templates = _templates(docs, lines, agree)
     placed = lines.join(templates, "line", "left").select("_k", "_doc", "pos", F.coalesce("template", "line").alias("template"))
     spread = placed.select("template", "_doc").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("_doc").alias("first")).where(F.col("docs") >= least_docs)
     gone = placed.join(spread, "template").where("_doc <> first").select("_k", "pos").distinct()
