@@ -65,17 +65,20 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET
     go by buckets of hashes, about `bucket` documents each whatever the source's size,
     and over the buckets' sums.
     """
-    sized = docs.withColumns({"_h": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), "_size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1})
-    per = sized.groupBy("source").agg(F.count("*").alias("n")).select(F.col("source").alias("_s"), F.greatest(F.lit(1), F.ceil(F.col("n") / bucket)).cast("bigint").alias("_buckets"))
+    sized = docs.withColumns({
+        "_h": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), "_size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1,
+        "_key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),  # never null, so that joins and windows by it share a shuffle
+    })
+    per = sized.groupBy("_key").agg(F.count("*").alias("n")).select("_key", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket)).cast("bigint").alias("_buckets"))
     # A source's buckets are equal ranges of the hash's first 32 bits.
     first = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
-    dealt = sized.join(per, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_bucket", F.shiftright(first * F.col("_buckets"), 32))
-    sums = dealt.groupBy("source", "_bucket").agg(F.sum("_size").alias("b"))
-    before = sums.withColumn("_before", F.sum("b").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("b")).select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "_before")
-    inner = F.sum("_size").over(Window.partitionBy("source", "_bucket").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
-    run = dealt.withColumn("_inner", inner)
-    placed = run.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    return placed.withColumn("_block", F.expr(f"(_before + _inner) div {block_bytes}")).drop("_s", "_b", "_before", "_inner", "_bucket", "_buckets")
+    # A row for each source, of which there are MAX_SOURCES at most (`timetable` raises beyond).
+    dealt = sized.join(F.broadcast(per), "_key").withColumn("_bucket", F.shiftright(first * F.col("_buckets"), 32)).drop("_buckets")
+    sums = dealt.groupBy("_key", "_bucket").agg(F.sum("_size").alias("b"))
+    before = sums.select("_key", "_bucket", (F.sum("b").over(Window.partitionBy("_key").orderBy("_bucket")) - F.col("b")).alias("_before"))
+    inner = F.sum("_size").over(Window.partitionBy("_key", "_bucket").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
+    placed = dealt.withColumn("_inner", inner).join(before, ["_key", "_bucket"])
+    return placed.withColumn("_block", F.expr(f"(_before + _inner) div {block_bytes}")).drop("_key", "_bucket", "_before", "_inner")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET, power: float = 0.5) -> DataFrame:
