@@ -12,7 +12,7 @@ import numpy as np
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1
 #: Bytes that are hashed at a time; places within them take PLACE bits of a sort key.
-CHUNK, PLACE = 1 << 22, 23
+CHUNK, PLACE = 1 << 20, 23
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTES = np.random.default_rng(1).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -28,11 +28,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _doubled(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Polynomial hashes of all substrings of 1, 2, 4, ... 64 bytes, by length."""
+    """Polynomial hashes of all substrings of 4, 32 and 64 bytes, by length, by doubling."""
     out, size = {1: _BYTES[data]}, 1
     while size < 64:
         h = out[size]
         out[2 * size] = h[: len(h) - size] * _power(size) + h[size:] if len(h) > size else h[:0]
+        if size not in (4, GRAM):  # the others are steps on the way
+            del out[size]
         size *= 2
     return out
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MEMORY = 64 << 20
+MEMORY = 32 << 20
 #: Positions that are taken from a queue at a time, about.
 BLOCK = 1 << 18
 
@@ -86,11 +86,15 @@ class Buckets:
 def _smaller(text: np.ndarray) -> np.ndarray:
     """For each place, whether its suffix is smaller than the next one (type S); the end counts as smaller than all."""
     n = len(text)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int32) - text[:-1])
-    step[-1] = -1
-    at = np.where(step != 0, np.arange(n), n - 1)
-    return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
+    out, then = np.zeros(n, bool), False
+    for end in range(n - 1, 0, -BLOCK):  # from the right, where a run of equal characters is settled
+        at = max(0, end - BLOCK)
+        part = np.asarray(text[at : end + 1])
+        step = (part[1:] > part[:-1]).astype(np.int8) - (part[1:] < part[:-1]).astype(np.int8)
+        last = np.minimum.accumulate(np.where(step != 0, np.arange(len(step), dtype=np.int32), np.int32(len(step)))[::-1])[::-1]
+        out[at:end] = np.append(step > 0, then)[last]
+        then = out[at]
+    return out
 
 
 def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, letters: int, memory: int) -> tuple[Buckets, Buckets]:
@@ -119,6 +123,24 @@ def _walk(large: Buckets, rest: Buckets, letters: int) -> Iterator[np.ndarray]:
         yield from rest.back(c)
 
 
+def _digests(text: np.ndarray, starts: np.ndarray, nexts: np.ndarray) -> np.ndarray:
+    """Hashes of the substrings from each start up to its next, that included; some substrings at a time."""
+    salt = np.random.default_rng(3).integers(0, 2**63, 1 << 16, dtype=np.uint64)
+    out, at = [], 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(nexts, starts[at] + 4 * BLOCK)))
+        a, b = starts[at:end], nexts[at:end]
+        part = np.asarray(text[a[0] : b[-1]])
+        within = np.arange(len(part), dtype=np.int64) - np.repeat(a - a[0], b - a)
+        weight = (within.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0x5851F42D4C957F2D)
+        weight ^= weight >> np.uint64(29)
+        value = salt[part] * (weight * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1))
+        size = (b - a + 1).astype(np.uint64)
+        out.append(np.add.reduceat(value, a - a[0]) + salt[text[b]] * (np.uint64(2) * size + np.uint64(1)))
+        at = end
+    return np.concatenate(out)
+
+
 def _order(names: np.ndarray, reach: int) -> np.ndarray:
     """Places of a text of names in the order of their suffixes, by doubling; `reach` names are compared at least."""
     rank, width = names.astype(np.int64), 1
@@ -156,14 +178,7 @@ def suffixes(text: np.ndarray, letters: int, reach: int | None = None, memory: i
         number[minima] = np.arange(len(minima))
         nexts = np.append(minima[1:], n - 1).astype(np.int64)
         sizes = nexts - minima + 1
-        base = np.uint64(0x9E3779B97F4A7C15)
-        salt = np.random.default_rng(3).integers(0, 2**63, 1 << 16, dtype=np.uint64)
-        within = np.arange(n, dtype=np.int64) - np.repeat(np.concatenate([[0], minima]), np.diff(np.concatenate([[0], minima, [n]])))
-        weight = (within.astype(np.uint64) * base) ^ np.uint64(0x5851F42D4C957F2D)
-        weight ^= weight >> np.uint64(29)
-        total = np.cumsum(salt[text & 0xFFFF] * (weight * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)), dtype=np.uint64)
-        low = np.where(minima > 0, total[np.maximum(minima - 1, 0)], np.uint64(0))
-        digest = total[nexts - 1] - low + salt[text[nexts] & 0xFFFF] * (np.uint64(2) * sizes.astype(np.uint64) + np.uint64(1))
+        digest = _digests(text, minima.astype(np.int64), nexts)
         order = number[sorted_minima]
         d, s = digest[order], sizes[order]
         names = np.empty(len(minima), np.int64)

@@ -31,7 +31,11 @@ from tidewheel.llm.induced import suffixes
 MANY, CELL = 256, 4
 #: Bytes of a shard's text that are held in memory; more lie in an unnamed file.
 HELD = 16 << 20
+#: Partitions of texts to be sorted for each usual one.
+FINER = 4
 _LAST = 2**63 - 1
+#: Above all hashes of anchors.
+RANGE = 1 << 40
 _K = 1 << 18
 
 
@@ -52,11 +56,16 @@ _FOUND = "kind int, h bigint, doc bigint, pack bigint, length bigint"
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An anchor's row: pack holds k, its place, and how far before it its windows start, first and last."""
+    """An anchor's row: pack holds k, its place, and how far before it its windows start, first and last.
+
+    Of the same surroundings met several times in a batch only the first goes on, so that a
+    frequent passage is few rows; the others' ranges, joined where they touch, are rows with
+    h from RANGE on (which spreads them by document) and their length as c.
+    """
     for batch in batches:
         texts = _bytes(batch.column(2))
         doc, k = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-        at = 0
+        at, parts = 0, []
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (not size or size + len(texts[end]) < anchors.CHUNK):
@@ -68,8 +77,37 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError("a text of 8 MB or more")
             d, place, first, last, gram, context = anchors.of(data, ends)
             pack = k[at + d] << 45 | place << 14 | (place - first) << 7 | (place - last)
-            yield pa.RecordBatch.from_arrays([pa.array((gram >> np.uint64(24)).astype(np.int64)), pa.array(context.view(np.int64)), pa.array(doc[at + d]), pa.array(pack)], names=["h", "c", "doc", "pack"])
+            parts.append(((gram >> np.uint64(24)).astype(np.int64), context.view(np.int64), doc[at + d], pack))
             at = end
+        if not parts:
+            continue
+        h, c, d, pack = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        order = np.lexsort((pack, d, c))
+        h, c, d, pack = h[order], c[order], d[order], pack[order]
+        first = np.concatenate([[True], c[1:] != c[:-1]])[: len(c)]
+        yield _rows(h[first], c[first], d[first], pack[first])
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(c)), 0))
+        again = (d != d[lead]) | (pack != pack[lead])
+        start, length = _range_of(pack[again])
+        yield _rows(*_joined(d[again], start, length))
+
+
+def _rows(h: np.ndarray, c: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, doc, pack)], names=["h", "c", "doc", "pack"])
+
+
+def _joined(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges as rows, those of a document that touch joined into one; start holds k above the place."""
+    order = np.lexsort((start, doc))
+    doc, start, length = doc[order], start[order], length[order]
+    of = np.cumsum(np.concatenate([[False], (doc[1:] != doc[:-1]) | (start[1:] >> 45 != start[:-1] >> 45)])[: len(doc)])
+    begin = start >> 14 & 0x7FFFFFFF
+    reach = np.maximum.accumulate(of << 32 | begin + length)
+    new = np.concatenate([[True], (of[1:] << 32 | begin[1:]) > reach[:-1]])[: len(doc)]
+    last = np.append(np.flatnonzero(new)[1:], len(doc))[: new.sum()] - 1
+    total = (reach[last] & 0xFFFFFFFF) - begin[new]
+    spread = (anchors.mix(doc[new].view(np.uint64)) >> np.uint64(24)).astype(np.int64)
+    return spread | RANGE, total, doc[new], start[new]
 
 
 def _found(kind: int, h: np.ndarray, doc: np.ndarray, pack: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
@@ -90,6 +128,11 @@ def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         h, c, doc, pack = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        known = h >= RANGE
+        yield _found(0, h[known], doc[known], pack[known], c[known])
+        h, c, doc, pack = (x[~known] for x in (h, c, doc, pack))
+        if not len(h):
+            continue
         ph, pc, pd, pp = (np.concatenate([[x if before else ~y[0]], y[:-1]]) for x, y in zip(before or (0, 0, 0, 0), (h, c, doc, pack)))
         new_h = h != ph
         new_c = new_h | (c != pc)
@@ -300,7 +343,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     of = marked.groupBy("doc", "k").agg(F.collect_list("a").alias("of"))
     packed = _compressed(documents)
     met = of.join(packed, ["doc", "k"])
-    pieces = met.select("doc", "k", "z", "of").mapInArrow(_pieces, _PIECES).repartition("shard")
+    # Sorting takes some forty bytes for each byte of a shard's text, so shards are a fraction of a usual partition.
+    parts = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = met.select("doc", "k", "z", "of").mapInArrow(_pieces, _PIECES).repartition(parts, "shard")
     ranges = found.where("kind = 0").select("doc", "pack", "length").union(pieces.mapInArrow(_sorted, _FOUND).select("doc", "pack", "length"))
     place = F.struct(F.shiftright("pack", 14).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("start"), F.col("length").cast("int").alias("length"))
     each = ranges.select("doc", F.shiftright("pack", 45).alias("k"), place.alias("r")).groupBy("doc", "k").agg(F.collect_list("r").alias("of"))
