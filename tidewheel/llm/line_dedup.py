@@ -39,7 +39,8 @@ def _candidates(docs: DataFrame, leading: int, least_tokens: int, least_docs: in
     spark, folder = docs.sparkSession, checkpoint_folder(docs.sparkSession)
     _lines(docs, leading, least_tokens).write.parquet(f"{folder}/lines")
     lines = spark.read.parquet(f"{folder}/lines")
-    full = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("leaf")
+    # Cut, as below: an aggregate that is its own shuffle's end leaves AQE no way to split a frequent key of the join.
+    full = cut(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("leaf"))
     lines.join(full, "leaf", "left_semi").write.parquet(f"{folder}/candidates")
     return spark.read.parquet(f"{folder}/candidates")
 
@@ -48,7 +49,7 @@ def _templates(docs: DataFrame, lines: DataFrame, agree: float) -> DataFrame:
     """(line, template) for lines whose template is led by another line of the leaf."""
     distinct = cut(lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("_doc", "pos", "_k")).alias("at")))
     led = distinct.groupBy("leaf").agg(F.count("*").alias("m"), F.min(F.struct(-F.col("n"), "at", "line")).alias("lead"))
-    led = led.where(F.col("m") > 1).select("leaf", F.col("lead.line").alias("leader"))
+    led = cut(led.where(F.col("m") > 1).select("leaf", F.col("lead.line").alias("leader")))
     wanted = distinct.join(led, "leaf").groupBy(F.col("at._k").alias("_k")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "leaf", "line", "leader")).alias("of"))
     found = wanted.join(docs.select("_k", F.col("text").cast("string").alias("text")), "_k").select(F.split("text", "\n").alias("all"), F.explode("of").alias("of"))
     variants = cut(found.select("of.leaf", "of.line", "of.leader", _tokens(F.get("all", "of.pos")).alias("t")).dropDuplicates(["line"]))
@@ -63,7 +64,7 @@ def recurring(docs: DataFrame, leading: int = LEADING, agree: float = AGREE, lea
     templates = _templates(docs, lines, agree)
     placed = lines.join(templates, "line", "left").select("_k", "_doc", "pos", F.coalesce("template", "line").alias("template"))
     spread = placed.select("template", "_doc").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("_doc").alias("first")).where(F.col("docs") >= least_docs)
-    gone = placed.join(spread, "template").where("_doc <> first").select("_k", "pos").distinct()
+    gone = placed.join(cut(spread), "template").where("_doc <> first").select("_k", "pos").distinct()
     return gone.groupBy("_k").agg(F.collect_list("pos").alias("drop"))
 
 
