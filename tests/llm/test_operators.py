@@ -293,6 +293,20 @@ def test_similar_links_by_whole_sets(spark):
     assert len(wrong) <= 2  # a pair may miss all trees
 
 
+@pytest.mark.parametrize("n", [1000, 1 << 23, 1 << 25, 1 << 28])
+def test_recall_holds_at_any_size(n):
+    share = np.arccos(1.6 / 1.8) / np.pi
+    trees = simhash.blocks(n, 6, share)
+    rng = np.random.default_rng(2)
+    flips = np.packbits(rng.random((4000, 384)) < share, axis=1, bitorder="little").view(np.uint64)
+    wide = simhash._layers(flips, trees)
+    met = np.zeros(len(flips), bool)
+    for word, mask in trees:
+        met |= wide[:, word] & np.uint64(mask) == 0
+    assert (~met).mean() < 0.016
+    assert n >> trees[0][1].bit_count() <= 2 * simhash.AIM
+
+
 # 6: lines
 
 

@@ -184,13 +184,24 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
 _MEMBERS = "shard bigint, node bigint, fp "
 
 
+def _layers(fp: np.ndarray, trees: list[tuple[int, int]]) -> np.ndarray:
+    """Rows of words as far as the trees' numbers of words go: after the fingerprints' own, the same bits in other orders."""
+    words = fp.shape[1]
+    more = max(word for word, _ in trees) // words
+    if not more:
+        return fp
+    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+    orders = [np.random.default_rng(r).permutation(words * BITS) for r in range(1, more + 1)]
+    return np.concatenate([fp, *(np.packbits(np.ascontiguousarray(bits[:, o]), axis=1, bitorder="little").view(np.uint64) for o in orders)], axis=1)
+
+
 def _members(batches: Iterator[pa.RecordBatch], trees: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     """Each (fp, node) once for each tree (a word and a mask), with the shard that its distances from the tree's vantage points name."""
     points = [np.array(_vantage_points(mask, mask.bit_count() * 2 // 3), dtype=np.uint64) for _, mask in trees]
     for whole in batches:
         for at in range(0, whole.num_rows, 2048):
             batch = whole.slice(at, 2048)
-            fp = _matrix(batch.column(0))
+            fp = _layers(_matrix(batch.column(0)), trees)
             shards = np.empty((len(trees), len(fp)), dtype=np.uint64)
             for t, (word, mask) in enumerate(trees):
                 code = np.full(len(fp), t + 1, dtype=np.uint64)
@@ -240,6 +251,27 @@ def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
 
 #: Low bits of a shard that hold its tree's number.
 _TREE = 10
+#: Part of the pairs at the threshold that may miss every tree.
+MISS = 0.01
+
+
+def blocks(n: int, words: int, share: float, least_block: int = 12, miss: float = MISS) -> list[tuple[int, int]]:
+    """The trees (a word, counted on through further orders of the bits, and a mask) for n wide fingerprints.
+
+    The blocks grow with n and so does the number of trees: a pair that differs in each bit
+    with probability `share` misses all of them in at most `miss` of cases. Trees share
+    bits, so the chance is summed over the number of bits that differ.
+    """
+    bits = words * BITS
+    block = min(24, max(least_block, (n // AIM).bit_length()))
+    weight = np.array([math.comb(bits, d) * share**d * (1 - share) ** (bits - d) for d in range(bits + 1)])
+    none = np.array([1 - math.comb(bits - d, block) / math.comb(bits, block) for d in range(bits + 1)])
+    low, high = 1, (1 << _TREE) - 1
+    while low < high:
+        half = (low + high) // 2
+        low, high = (low, half) if weight @ none**half <= miss else (half + 1, high)
+    each = BITS // block
+    return [(t // each, ((1 << block) - 1) << (block * (t % each))) for t in range(low)]
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], trees: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +289,7 @@ class _Candidates:
         self.fp, self.bounds, self.radius = _matrix(rows.column("fp")), bounds, radius
         self.tree = rows.column("shard").to_numpy() & (1 << _TREE) - 1
         self.lo, self.hi, self.chunk = (rows.column(c).to_numpy() for c in ("lo", "hi", "chunk"))
+        self.trees = trees
         self.words, self.masks = np.array([w for w, _ in trees]), np.array([m for _, m in trees], dtype=np.uint64)
 
     def fresh(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -264,7 +297,7 @@ class _Candidates:
         out = np.ones(len(i), bool)
         for at in range(0, len(i), 32768):
             x, y = i[at : at + 32768], j[at : at + 32768]
-            agree = (self.fp[x] ^ self.fp[y])[:, self.words] & self.masks == 0
+            agree = _layers(self.fp[x] ^ self.fp[y], self.trees)[:, self.words] & self.masks == 0
             out[at : at + 32768] = ~(agree & (np.arange(len(self.masks)) < self.tree[x][:, None])).any(axis=1)
         return out
 
@@ -346,10 +379,10 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: i
     that similarity differ by an angle, and so in a share p of the bits of a fingerprint:
     cos(pi p) = 2 s / (1 + s) for sets alike in size, more for others. Candidates differ in
     at most that share and five deviations more; unrelated ones differ in half the bits,
-    about ten deviations away. At such distances no set of blocks is sure to agree, so there is a tree
-    for each block of about the binary logarithm of the number of sets: with 384 bits and
-    blocks of 12 a pair of similarity 0.8 misses all 30 trees in 1.1 % of cases by
-    calculation. No pair below the similarity links, other than by a chain of links.
+    about ten deviations away. At such distances no set of blocks is sure to agree, so there
+    are trees for blocks of about the binary logarithm of the number of sets, and as many
+    that a pair at the threshold misses all in at most 1 % of cases by calculation, whatever
+    the number of sets (see `blocks`). No pair below the similarity links, other than by a chain of links.
 
     Equal sets are one node. Members that have a candidate in a shard go there once more,
     with their set; a pair is compared in the first tree in which it agrees, unless others
@@ -377,11 +410,10 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: i
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     fps = cut(texts.mapInArrow(run, "doc_id bigint, node bigint, fp array<bigint>"))
     nodes = cut(fps.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
-    block = min(32, max(least_block, (nodes.count() // AIM).bit_length()))
     bits = words * BITS
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = int(bits * share + 5 * math.sqrt(bits * share * (1 - share)))
-    trees = [(word, ((1 << block) - 1) << (block * at)) for word in range(words) for at in range(BITS // block)]
+    trees = blocks(nodes.count(), words, share, least_block)
 
     kind = "shard bigint, lo int, hi int, chunk int, node bigint, fp array<bigint>"
     members = nodes.select("fp", "node").mapInArrow(lambda it: _numbered(it, trees), _MEMBERS + "array<bigint>")
