@@ -13,9 +13,11 @@ DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose whole text scores below 0.5; null and empty texts stay."""
+    """Documents whose whole text scores below 0.5; null and empty texts stay, and all do where nothing could be learned (no label, labels of one kind, no word)."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, "toxic")
+    if not model.trained:
+        return docs.select(*DOCUMENT)
     return toxicity.scores(docs.select(*DOCUMENT), model).where("_score < 0.5").select(*DOCUMENT)
 
 

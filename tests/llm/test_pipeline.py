@@ -63,3 +63,12 @@ def test_stages_take_awkward_documents(spark, sf_dir):
         for name, stage in P.STAGES:
             docs = stage(spark, docs, sf_dir)
         assert docs.count() >= bool(n)
+
+
+@pytest.mark.parametrize("labels", [[], [(1, None), (2, None)], [(None, 1)], [(10, 1), (20, 0)], [(i, 1) for i in range(5)]])
+def test_without_usable_labels_all_documents_stay(spark, tmp_path, labels):
+    rows = [(i, f"words of document {i}", "en", "s", 1) for i in range(5)] + [(7, None, "en", "s", 0), (8, "", "en", "s", 0), (10, " ", "en", "s", 1), (20, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(map(str, P.drop_toxic(spark, docs, str(tmp_path)).collect())) == sorted(map(str, docs.collect()))

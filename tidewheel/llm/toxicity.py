@@ -163,6 +163,7 @@ class Model:
 
     def __init__(self, weights: np.ndarray, bias: float, slope: float, middle: float):
         self.weights, self.bias, self.slope, self.middle = weights.astype(np.float32), bias, slope, middle
+        self.trained = bool(self.weights.any())  # else nothing could be learned, and all texts score alike
         self.known: dict[str, float] = {}
 
     def raw(self, words: list[str]) -> np.ndarray:
