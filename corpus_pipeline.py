@@ -42,9 +42,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents; each is a sequence, with its ids' checksum."""
+    """The pieces of all documents; each is a sequence, with its ids' checksum; sequences of a bucket follow the mixing schedule.
+
+    Files read again come in any order, so the schedule is worked out once more.
+    """
     ranks = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), longest=1024, end=0, ranks=ranks)
+    return packing.pack(mixing.mixed(docs.select("doc_id", "text", "source")).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), longest=1024, end=0, ranks=ranks)
 
 
 STAGES = [

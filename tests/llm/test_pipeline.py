@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
+from tidewheel.llm import mixing
 
 
 def test_registered():
@@ -72,3 +73,16 @@ def test_without_usable_labels_all_documents_stay(spark, tmp_path, labels):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert sorted(map(str, P.drop_toxic(spark, docs, str(tmp_path)).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_sequences_follow_the_schedule_over_several_files(spark, tmp_path):
+    rows = [(i, f"word{i} " * (40 + i * 37 % 400), "en", "abc"[i % 7 % 3], 1) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    slot = {r.doc_id: (r.slot, r._h) for r in mixing.mix(docs).select("doc_id", "slot", "_h").collect()}
+    mixed = P.mix_sources(spark, docs, "").collect()
+    for k, part in enumerate((mixed[:100], mixed[100:150], mixed[150:700], mixed[700:])):  # files of several sizes
+        spark.createDataFrame(part, docs.schema).coalesce(1).write.parquet(f"{tmp_path}/d", mode="append" if k else "error")
+    got = P.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/d"), "").collect()
+    for bucket in {r.bucket for r in got}:
+        seen = [slot[r.doc_id] for r in sorted((r for r in got if r.bucket == bucket), key=lambda r: r.sequence_id)]
+        assert seen == sorted(seen)
