@@ -486,3 +486,12 @@ def test_repeats(spark, awkward, monkeypatch, many, held):
 def test_repeats_of_the_documents_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
     assert {tuple(r) for r in queries.op10_suffix_array_dedup(spark, sf_dir).collect()} == brute_repeats(rows)
+
+
+def test_repeats_of_many_texts_without_an_id(spark):
+    rng = random.Random(3)
+    shared = text(rng, 30)
+    rows = [(None, f"{text(rng, 20 + i % 9)} {shared if i % 2 else ''} {text(rng, 4)}") for i in range(3000)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), with_text=True).collect()
+    order = sorted((r[1] for r in rows), key=lambda x: int(np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).view(np.int64)))  # as xxhash64 of Spark
+    assert sorted(tuple(r)[:5][1:] for r in got) == sorted(x[1:] for x in brute_repeats([(None, x) for x in order]))

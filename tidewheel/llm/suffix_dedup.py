@@ -36,27 +36,26 @@ FINER = 4
 _LAST = 2**63 - 1
 #: Above all hashes of anchors.
 RANGE = 1 << 40
-_K = 1 << 18
 
 
 def _document(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, k, text): doc orders the documents (a null id last), k tells apart texts that share an id."""
+    """(doc_id, doc, k, text): doc orders the documents (a null id last), k a hash of the text, tells apart texts that share an id."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     one = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    return one.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(_K)).cast("bigint").alias("k"), "text")
+    return one.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("k"), "text")
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
     return [x.encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
-_ANCHORS = "h bigint, c bigint, doc bigint, pack bigint"
+_ANCHORS = "h bigint, c bigint, doc bigint, k bigint, pack bigint"
 #: kind 0: a removed range (start and length packed); 1: an anchor to be sorted with others of its h.
-_FOUND = "kind int, h bigint, doc bigint, pack bigint, length bigint"
+_FOUND = "kind int, h bigint, doc bigint, k bigint, pack bigint, length bigint"
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An anchor's row: pack holds k, its place, and how far before it its windows start, first and last.
+    """An anchor's row: pack holds its place, and how far before it its windows start, first and last.
 
     Of the same surroundings met several times in a batch only the first goes on, so that a
     frequent passage is few rows; the others' ranges, joined where they touch, are rows with
@@ -76,69 +75,69 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(data) >= 1 << anchors.PLACE:
                 raise ValueError("a text of 8 MB or more")
             d, place, first, last, gram, context = anchors.of(data, ends)
-            pack = k[at + d] << 45 | place << 14 | (place - first) << 7 | (place - last)
-            parts.append(((gram >> np.uint64(24)).astype(np.int64), context.view(np.int64), doc[at + d], pack))
+            pack = place << 14 | (place - first) << 7 | (place - last)
+            parts.append(((gram >> np.uint64(24)).astype(np.int64), context.view(np.int64), doc[at + d], k[at + d], pack))
             at = end
         if not parts:
             continue
-        h, c, d, pack = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order = np.lexsort((pack, d, c))
-        h, c, d, pack = h[order], c[order], d[order], pack[order]
+        h, c, d, k, pack = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        order = np.lexsort((pack, k, d, c))
+        h, c, d, k, pack = h[order], c[order], d[order], k[order], pack[order]
         first = np.concatenate([[True], c[1:] != c[:-1]])[: len(c)]
-        yield _rows(h[first], c[first], d[first], pack[first])
+        yield _rows(h[first], c[first], d[first], k[first], pack[first])
         lead = np.maximum.accumulate(np.where(first, np.arange(len(c)), 0))
-        again = (d != d[lead]) | (pack != pack[lead])
+        again = (d != d[lead]) | (k != k[lead]) | (pack != pack[lead])
         start, length = _range_of(pack[again])
-        yield _rows(*_joined(d[again], start, length))
+        yield _rows(*_joined(d[again], k[again], start, length))
 
 
-def _rows(h: np.ndarray, c: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, doc, pack)], names=["h", "c", "doc", "pack"])
+def _rows(h: np.ndarray, c: np.ndarray, doc: np.ndarray, k: np.ndarray, pack: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, doc, k, pack)], names=["h", "c", "doc", "k", "pack"])
 
 
-def _joined(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Ranges as rows, those of a document that touch joined into one; start holds k above the place."""
-    order = np.lexsort((start, doc))
-    doc, start, length = doc[order], start[order], length[order]
-    of = np.cumsum(np.concatenate([[False], (doc[1:] != doc[:-1]) | (start[1:] >> 45 != start[:-1] >> 45)])[: len(doc)])
+def _joined(doc: np.ndarray, k: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges as rows, those of a document that touch joined into one; start is packed."""
+    order = np.lexsort((start, k, doc))
+    doc, k, start, length = doc[order], k[order], start[order], length[order]
+    of = np.cumsum(np.concatenate([[False], (doc[1:] != doc[:-1]) | (k[1:] != k[:-1])])[: len(doc)])
     begin = start >> 14 & 0x7FFFFFFF
     reach = np.maximum.accumulate(of << 32 | begin + length)
     new = np.concatenate([[True], (of[1:] << 32 | begin[1:]) > reach[:-1]])[: len(doc)]
     last = np.append(np.flatnonzero(new)[1:], len(doc))[: new.sum()] - 1
     total = (reach[last] & 0xFFFFFFFF) - begin[new]
     spread = (anchors.mix(doc[new].view(np.uint64)) >> np.uint64(24)).astype(np.int64)
-    return spread | RANGE, total, doc[new], start[new]
+    return spread | RANGE, total, doc[new], k[new], start[new]
 
 
-def _found(kind: int, h: np.ndarray, doc: np.ndarray, pack: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), *(pa.array(np.asarray(x, dtype=np.int64)) for x in (h, doc, pack, length))], names=["kind", "h", "doc", "pack", "length"])
+def _found(kind: int, h: np.ndarray, doc: np.ndarray, k: np.ndarray, pack: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), *(pa.array(np.asarray(x, dtype=np.int64)) for x in (h, doc, k, pack, length))], names=["kind", "h", "doc", "k", "pack", "length"])
 
 
 def _range_of(pack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(k and start packed, length) of the bytes that an anchor's windows cover."""
+    """(start packed, length) of the bytes that an anchor's windows cover."""
     first, last = pack >> 7 & 127, pack & 127
-    return (pack >> 45) << 45 | ((pack >> 14 & 0x7FFFFFFF) - first) << 14, first - last + WINDOW
+    return ((pack >> 14) - first) << 14, first - last + WINDOW
 
 
 def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, c, doc, pack): repeats of the same surroundings as ranges, and of each h with several surroundings their first occurrences."""
+    """Of rows sorted by (h, c, doc, k, pack): repeats of the same surroundings as ranges, and of each h with several surroundings their first occurrences."""
     before = None  # the last row, and the first of its surroundings
     pending, several = None, False  # the only surroundings of the last h so far; whether there are more
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, c, doc, pack = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        h, c, doc, k, pack = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         known = h >= RANGE
-        yield _found(0, h[known], doc[known], pack[known], c[known])
-        h, c, doc, pack = (x[~known] for x in (h, c, doc, pack))
+        yield _found(0, h[known], doc[known], k[known], pack[known], c[known])
+        h, c, doc, k, pack = (x[~known] for x in (h, c, doc, k, pack))
         if not len(h):
             continue
-        ph, pc, pd, pp = (np.concatenate([[x if before else ~y[0]], y[:-1]]) for x, y in zip(before or (0, 0, 0, 0), (h, c, doc, pack)))
+        ph, pc, pd, pk, pp = (np.concatenate([[x if before else ~y[0]], y[:-1]]) for x, y in zip(before or (0, 0, 0, 0, 0), (h, c, doc, k, pack)))
         new_h = h != ph
         new_c = new_h | (c != pc)
-        again = ~new_c & ((doc != pd) | (pack != pp))
+        again = ~new_c & ((doc != pd) | (k != pk) | (pack != pp))
         start, length = _range_of(pack[again])
-        yield _found(0, h[again], doc[again], start, length)
+        yield _found(0, h[again], doc[again], k[again], start, length)
         first = np.flatnonzero(new_c)
         group = np.cumsum(new_h)[first]  # 0: goes on from the last batch
         size = np.bincount(group, minlength=int(new_h.sum()) + 1)
@@ -148,12 +147,12 @@ def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pending, several = None, True
         out = first[size[group] > 1]
         open_group = int(new_h.sum())
-        yield _found(1, h[out], doc[out], pack[out], np.zeros(len(out)))
+        yield _found(1, h[out], doc[out], k[out], pack[out], np.zeros(len(out)))
         if open_group:
             mine = first[group == open_group]
             several = len(mine) > 1
-            pending = None if several else (h[mine[0]], doc[mine[0]], pack[mine[0]])
-        before = (h[-1], c[-1], doc[-1], pack[-1])
+            pending = None if several else (h[mine[0]], doc[mine[0]], k[mine[0]], pack[mine[0]])
+        before = (h[-1], c[-1], doc[-1], k[-1], pack[-1])
 
 
 _PACKED = "doc_id bigint, doc bigint, k bigint, z binary"
@@ -170,7 +169,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _PACKED)
 
 
-_PIECES = "kind int, shard bigint, doc bigint, pack bigint, length bigint, body binary"
+_PIECES = "kind int, shard bigint, doc bigint, k bigint, pack bigint, length bigint, body binary"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,23 +183,23 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pack = a["pack"]
                 place, lo, hi = pack >> 14 & 0x7FFFFFFF, pack >> 7 & 127, pack & 127
                 if not a["hot"]:
-                    rows.append((a["h"], doc, k << 45 | (place - lo) << 14, lo - hi + 1, data[place - lo : place - hi + WINDOW]))
+                    rows.append((a["h"], doc, k, (place - lo) << 14, lo - hi + 1, data[place - lo : place - hi + WINDOW]))
                     continue
                 for cell in range(hi // CELL, lo // CELL + 1):
                     core = data[place - cell * CELL : place - cell * CELL - CELL + 1 + WINDOW]
                     far, near = min(lo, cell * CELL + CELL - 1), max(hi, cell * CELL)
                     body = data[place - far : place - near + WINDOW]
-                    row = (xxhash.xxh64_intdigest(core, a["h"] & 0xFFFF_FFFF ^ cell) >> 1, doc, k << 45 | (place - far) << 14, far - near + 1, body)
+                    row = (xxhash.xxh64_intdigest(core, a["h"] & 0xFFFF_FFFF ^ cell) >> 1, doc, k, (place - far) << 14, far - near + 1, body)
                     old = seen.get(key := (row[0], far, near, body))
-                    if old is None or row[1:3] < old[1:3]:
+                    if old is None or row[1:4] < old[1:4]:
                         seen[key] = row
                         row = old
-                    if row and row[1:3] != seen[key][1:3]:
-                        gone.append((row[0], row[1], row[2], row[3] - 1 + WINDOW, None))
+                    if row and row[1:4] != seen[key][1:4]:
+                        gone.append((*row[:4], row[4] - 1 + WINDOW, None))
         rows += seen.values()
         both = rows + gone
-        columns = [[r[i] for r in both] for i in range(5)]
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(rows) + [0] * len(gone), pa.int32()), *(pa.array(columns[i], pa.int64()) for i in range(4)), pa.array(columns[4], pa.binary())], names=["kind", "shard", "doc", "pack", "length", "body"])
+        columns = [[r[i] for r in both] for i in range(6)]
+        yield pa.RecordBatch.from_arrays([pa.array([1] * len(rows) + [0] * len(gone), pa.int32()), *(pa.array(columns[i], pa.int64()) for i in range(5)), pa.array(columns[5], pa.binary())], names=["kind", "shard", "doc", "k", "pack", "length", "body"])
 
 
 class _Text:
@@ -235,21 +234,21 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges removed from a partition's shards; ranges that came with them pass."""
     text, kept = _Text(), []
     for batch in batches:
-        kind, doc, pack, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4))
+        kind, doc, k, pack, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4, 5))
         known = kind == 0
-        yield _found(0, np.zeros(known.sum()), doc[known], pack[known], length[known])
-        bodies = batch.column(5)
+        yield _found(0, np.zeros(known.sum()), doc[known], k[known], pack[known], length[known])
+        bodies = batch.column(6)
         at = np.flatnonzero(~known)
-        kept.append(np.stack([doc[at], pack[at], length[at], np.array([len(bodies[i].as_py()) for i in at.tolist()], dtype=np.int64)]))
+        kept.append(np.stack([doc[at], k[at], pack[at], length[at], np.array([len(bodies[i].as_py()) for i in at.tolist()], dtype=np.int64)]))
         for i in at.tolist():
             text.add(bodies[i].as_py())
     if not text.size:
         return
-    doc, pack, windows, sizes = np.concatenate(kept, axis=1)
+    doc, k, pack, windows, sizes = np.concatenate(kept, axis=1)
     whole = text.whole()
     offset = np.cumsum(sizes + 1) - sizes - 1
     removed = np.zeros(len(whole), bool)
-    _mark(whole, offset, windows, doc, pack, removed)
+    _mark(whole, offset, windows, doc, k, pack, removed)
     flagged = np.flatnonzero(removed)
     if len(flagged):
         owner = np.searchsorted(offset, flagged, "right") - 1
@@ -257,10 +256,10 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = flagged[new]
         last = flagged[np.append(np.flatnonzero(new)[1:], len(flagged)) - 1]
         who = owner[new]
-        yield _found(0, np.zeros(len(first)), doc[who], pack[who] + ((first - offset[who]) << 14), last - first + WINDOW)
+        yield _found(0, np.zeros(len(first)), doc[who], k[who], pack[who] + ((first - offset[who]) << 14), last - first + WINDOW)
 
 
-def _mark(text: np.ndarray, offset: np.ndarray, windows: np.ndarray, doc: np.ndarray, pack: np.ndarray, removed: np.ndarray) -> None:
+def _mark(text: np.ndarray, offset: np.ndarray, windows: np.ndarray, doc: np.ndarray, k: np.ndarray, pack: np.ndarray, removed: np.ndarray) -> None:
     """Marks every window start that has an equal window at an earlier place."""
     held = np.zeros(0, np.int64)
     for block in suffixes(text, 257, reach=WINDOW):
@@ -268,25 +267,25 @@ def _mark(text: np.ndarray, offset: np.ndarray, windows: np.ndarray, doc: np.nda
         owner = np.searchsorted(offset, block, "right") - 1
         block = np.concatenate([held, block[block - offset[owner] < windows[owner]]])
         if len(block):
-            held = _classes(text, block, offset, doc, pack, removed, False)
+            held = _classes(text, block, offset, doc, k, pack, removed, False)
     if len(held):
-        _classes(text, held, offset, doc, pack, removed, True)
+        _classes(text, held, offset, doc, k, pack, removed, True)
 
 
-def _classes(text: np.ndarray, block: np.ndarray, offset: np.ndarray, doc: np.ndarray, pack: np.ndarray, removed: np.ndarray, end: bool) -> np.ndarray:
+def _classes(text: np.ndarray, block: np.ndarray, offset: np.ndarray, doc: np.ndarray, k: np.ndarray, pack: np.ndarray, removed: np.ndarray, end: bool) -> np.ndarray:
     """Settles the runs of equal windows of a sorted block; returns the last run, which may go on (of it the earliest, the others being settled)."""
     same = np.ones(len(block) - 1, bool)
-    for k in range(0, WINDOW, 4):  # common prefixes of neighbours, as far as they still agree
+    for from_ in range(0, WINDOW, 4):  # common prefixes of neighbours, as far as they still agree
         at = np.flatnonzero(same)
-        for j in range(k, k + 4):
+        for j in range(from_, from_ + 4):
             same[at] &= text[block[at] + j] == text[block[at + 1] + j]
     run = np.concatenate([[0], np.cumsum(~same)])
     owner = np.searchsorted(offset, block, "right") - 1
     place = pack[owner] + ((block - offset[owner]) << 14)
-    order = np.lexsort((place, doc[owner], run))
+    order = np.lexsort((place, k[owner], doc[owner], run))
     first = np.concatenate([[True], run[order][1:] != run[order][:-1]])
     lead = order[first]  # the earliest of each run
-    own = (place == place[lead[run]]) & (doc[owner] == doc[owner][lead[run]])  # the same place met in two surroundings
+    own = (place == place[lead[run]]) & (doc[owner] == doc[owner][lead[run]]) & (k[owner] == k[owner][lead[run]])  # the same place met in two surroundings
     removed[block[~own]] = True
     return block[lead[-1:]] if not end else block[:0]
 
@@ -322,10 +321,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Each byte goes that is covered by a string of WINDOW bytes which starts earlier too, in
     a document with a smaller doc_id or before in its own. Null and empty texts have no
     bytes. A null doc_id comes after all others. Documents that share an id are ordered by
-    a hash of their texts; rows alike in both are one document and each return. A text of 8
+    a 64-bit hash of their texts; rows alike in both are one document and each return. A text of 8
     MB or more raises. No rows: no rows; further columns are ignored.
 
-    Shuffled are four numbers for each anchor (about one in 32 bytes), the compressed
+    Shuffled are five numbers for each anchor (about one in 32 bytes), the compressed
     texts twice, and the surroundings that need sorting. An anchor in very many different
     surroundings is dealt again by the bytes that few of its windows share; repeats of
     whole surroundings are never sorted. Nothing reaches the driver.
@@ -333,21 +332,21 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     documents = _document(docs)
     anchored = documents.select("doc", "k", "text").where(F.length("text") >= WINDOW // 4).mapInArrow(_anchored, _ANCHORS)
-    line = anchored.repartition("h").sortWithinPartitions("h", "c", "doc", "pack")
+    line = anchored.repartition("h").sortWithinPartitions("h", "c", "doc", "k", "pack")
     path = f"{checkpoint_folder(spark)}/anchors"
     line.mapInArrow(_classified, _FOUND).write.parquet(path)
     found = spark.read.schema(_FOUND).parquet(path)
-    wanted = found.where("kind = 1").select("h", "doc", "pack")
+    wanted = found.where("kind = 1").select("h", "doc", "k", "pack")
     many = cut(wanted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MANY))
-    marked = wanted.join(many, "h", "left").select("doc", (F.shiftright("pack", 45)).alias("k"), F.struct("h", "pack", F.col("n").isNotNull().alias("hot")).alias("a"))
+    marked = wanted.join(many, "h", "left").select("doc", "k", F.struct("h", "pack", F.col("n").isNotNull().alias("hot")).alias("a"))
     of = marked.groupBy("doc", "k").agg(F.collect_list("a").alias("of"))
     packed = _compressed(documents)
     met = of.join(packed, ["doc", "k"])
     # Sorting takes some forty bytes for each byte of a shard's text, so shards are a fraction of a usual partition.
     parts = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = met.select("doc", "k", "z", "of").mapInArrow(_pieces, _PIECES).repartition(parts, "shard")
-    ranges = found.where("kind = 0").select("doc", "pack", "length").union(pieces.mapInArrow(_sorted, _FOUND).select("doc", "pack", "length"))
+    ranges = found.where("kind = 0").select("doc", "k", "pack", "length").union(pieces.mapInArrow(_sorted, _FOUND).select("doc", "k", "pack", "length"))
     place = F.struct(F.shiftright("pack", 14).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("start"), F.col("length").cast("int").alias("length"))
-    each = ranges.select("doc", F.shiftright("pack", 45).alias("k"), place.alias("r")).groupBy("doc", "k").agg(F.collect_list("r").alias("of"))
+    each = ranges.select("doc", "k", place.alias("r")).groupBy("doc", "k").agg(F.collect_list("r").alias("of"))
     kind = _RESULT + (", kept binary" if with_text else "")
     return packed.join(each, ["doc", "k"], "left").select("doc_id", "z", "of").mapInArrow(lambda it: _result(it, with_text), kind)
