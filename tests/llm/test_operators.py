@@ -495,3 +495,28 @@ def test_repeats_of_many_texts_without_an_id(spark):
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), with_text=True).collect()
     order = sorted((r[1] for r in rows), key=lambda x: int(np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).view(np.int64)))  # as xxhash64 of Spark
     assert sorted(tuple(r)[:5][1:] for r in got) == sorted(x[1:] for x in brute_repeats([(None, x) for x in order]))
+
+
+def test_anchors_in_pieces_cover_every_window(monkeypatch):
+    data = np.random.default_rng(4).integers(0, 3, 5000).astype(np.uint8)
+    ends = np.array([len(data)])
+    at = lambda found: {s: p for _, place, first, last, *_ in found for p, a, b in zip(place, first, last) for s in range(a, b + 1)}
+    whole = at(suffix_dedup._in_pieces(data, ends))
+    monkeypatch.setattr(suffix_dedup.anchors, "CHUNK", 700)
+    pieces = [f for f in suffix_dedup._in_pieces(data, ends)]
+    assert len(pieces) > 5 and at(pieces) == whole and sorted(whole) == list(range(4901))
+    assert sum(int((last - first + 1).sum()) for _, _, first, last, *_ in pieces) == 4901
+
+
+def test_repeats_in_a_text_of_more_than_8_mb(spark):
+    rng = np.random.default_rng(6)
+    body = (rng.integers(0, 26, 9_000_000) + 97).astype(np.uint8)
+    passage = body[50:550].copy()
+    spots = [(1 << 20) - 250, 8 * (1 << 20) - 300, 8_900_000]
+    for i, s in enumerate(spots):
+        body[s - 1], body[s + 500] = 65 + i, 75 + i
+        body[s : s + 500] = passage
+    long = body.tobytes().decode()
+    rows = [(1, "C" + passage[100:400].tobytes().decode() + "D"), (2, long), (3, "E" + long[8_500_000:8_500_300] + "F")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: (302, 0, 0), 2: (9_000_000, 300 + 3 * 500, 4), 3: (302, 300, 1)}

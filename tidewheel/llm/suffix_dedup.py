@@ -72,11 +72,9 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end += 1
             ends = np.cumsum([len(t) for t in texts[at:end]])
             data = np.frombuffer(b"".join(texts[at:end]), np.uint8)
-            if len(data) >= 1 << anchors.PLACE:
-                raise ValueError("a text of 8 MB or more")
-            d, place, first, last, gram, context = anchors.of(data, ends)
-            pack = place << 14 | (place - first) << 7 | (place - last)
-            parts.append(((gram >> np.uint64(24)).astype(np.int64), context.view(np.int64), doc[at + d], k[at + d], pack))
+            for d, place, first, last, gram, context in _in_pieces(data, ends):
+                pack = place << 14 | (place - first) << 7 | (place - last)
+                parts.append(((gram >> np.uint64(24)).astype(np.int64), context.view(np.int64), doc[at + d], k[at + d], pack))
             at = end
         if not parts:
             continue
@@ -91,6 +89,21 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(*_joined(d[again], k[again], start, length))
 
 
+def _in_pieces(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The anchors of texts; a single long text goes in pieces of CHUNK window starts, so that its length has no bound.
+
+    An anchor whose windows lie in two pieces has two rows, each with its own windows; where
+    that makes its surroundings unlike those of its copies, they are sorted.
+    """
+    if len(ends) > 1 or len(data) <= anchors.CHUNK + WINDOW:
+        yield anchors.of(data, ends)
+        return
+    for at in range(0, len(data) - WINDOW + 1, anchors.CHUNK):
+        piece = data[at : at + anchors.CHUNK + WINDOW - 1]
+        d, place, first, last, gram, context = anchors.of(piece, np.array([len(piece)]))
+        yield d, place + at, first + at, last + at, gram, context
+
+
 def _rows(h: np.ndarray, c: np.ndarray, doc: np.ndarray, k: np.ndarray, pack: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, doc, k, pack)], names=["h", "c", "doc", "k", "pack"])
 
@@ -321,8 +334,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Each byte goes that is covered by a string of WINDOW bytes which starts earlier too, in
     a document with a smaller doc_id or before in its own. Null and empty texts have no
     bytes. A null doc_id comes after all others. Documents that share an id are ordered by
-    a 64-bit hash of their texts; rows alike in both are one document and each return. A text of 8
-    MB or more raises. No rows: no rows; further columns are ignored.
+    a 64-bit hash of their texts; rows alike in both are one document and each return. Texts may have
+    any length that a row can hold. No rows: no rows; further columns are ignored.
 
     Shuffled are five numbers for each anchor (about one in 32 bytes), the compressed
     texts twice, and the surroundings that need sorting. An anchor in very many different
