@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+#: Rows up to which a small side of a join is broadcast; beyond, it is joined by a shuffle.
+SMALL_SIDE = 200_000
+
+
 def _shared(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; only where none is set (tests on one machine), a temporary one."""
+    """The checkpoint folder that the cluster names. On one machine without one, a temporary folder; on a cluster that raises, as executors would not see it."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get(CHECKPOINT_KEY, None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError(f"{CHECKPOINT_KEY} names no folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -30,6 +37,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table that was written on the way."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for inner columns, none of which df has (case aside)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def small_side(df: DataFrame, rows: int = SMALL_SIDE) -> DataFrame:
+    """df with the hint to broadcast it if it has at most `rows` rows, counted first; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,14 +16,14 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above u is tied to the least vertex of u's neighbourhood."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     up = both.where("v > u").join(least, "u")
     return up.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every vertex not above u that u knows, and u, are tied to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
     near = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -32,9 +32,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node long, component long) for every node that has an edge; component: the least node reachable.
 
     `edges` has columns a, b (long, not null), in either order; loops and repeats are
-    allowed. No edge: no row. The work of a round is two aggregations and two equi-joins,
-    whose skewed keys AQE splits; every round is checkpointed, nothing but a digest of
-    the edges reaches the driver. It raises if the rounds don't suffice.
+    allowed. No edge: no row. The work of a round is two aggregations and two equi-joins.
+    The aggregated sides are checkpointed before they are joined, so that both sides of
+    a join are plain shuffles, whose skewed partitions (the hubs of large components) AQE
+    splits; read straight from its own shuffle an aggregate would leave it no way to.
+    Every round is checkpointed, nothing but a digest of the edges reaches the driver. It
+    raises if the rounds don't suffice.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _state(now)
