@@ -27,17 +27,21 @@ class Tokenizer:
 
     The vocabulary's pattern starts a token at each single blank between two other
     characters, so the stretches between such blanks are encoded independently of their
-    neighbours; a text with other white space around a blank is encoded as a whole. Special
-    tokens' strings are ordinary text. New words are encoded together in one call: with
+    neighbours; a text with other white space around a blank is encoded as a whole. The
+    strings of the file's added tokens become those tokens, as the library has it, unless
+    `plain` makes them ordinary text. New words are encoded together in one call: with
     `ranks` (the same vocabulary as a tiktoken file, and its pattern) by that library, which
     gives the same ids several times as fast.
     """
 
-    def __init__(self, path: str, ranks: tuple[str, str] | None = None):
+    def __init__(self, path: str, ranks: tuple[str, str] | None = None, plain: bool = False):
         from tokenizers import Tokenizer as File
 
         self.file, self.fast = File.from_file(path), None
-        self.file.encode_special_tokens = True
+        self.file.encode_special_tokens = plain
+        # Strings that mustn't be encoded beside others, and those that the cut at blanks would tear.
+        added = [t.content for t in self.file.get_added_tokens_decoder().values()]
+        self.added, self.torn = [a for a in added if " " not in a], [a for a in added if " " in a]
         if ranks:
             import tiktoken
 
@@ -96,7 +100,7 @@ class Tokenizer:
         for w in new.difference(self.known) if len(new) > len(self.known) else [w for w in new if w not in self.known]:
             if not w or w[0].isspace() or w[-1].isspace():
                 self.known[w] = -1  # the white space around it is one run
-            elif max(w) <= _SIMPLE and "<|" not in w:
+            elif max(w) <= _SIMPLE and not any(a in w for a in self.added):
                 plain.append(w)
             else:  # one by one: a token may end within a character, and offsets count characters
                 self._store([w], ids := self.whole(" " + w), np.array([len(ids)]))
@@ -106,7 +110,7 @@ class Tokenizer:
 
     def _gather(self, text: str, cut: list[str]) -> np.ndarray:
         at = np.fromiter(map(self.known.__getitem__, cut[1:]), np.int64, len(cut) - 1)
-        if not len(at) or at.min() < 0 or not cut[0] or cut[0][-1].isspace():
+        if not len(at) or at.min() < 0 or not cut[0] or cut[0][-1].isspace() or any(a in text for a in self.torn):
             return self.whole(text)
         lengths, starts = self.lengths[at], self.starts[at]
         ends = np.cumsum(lengths)
