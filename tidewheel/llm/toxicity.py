@@ -2,9 +2,11 @@
 
 The kernel of two strings counts common subsequences of three characters, gaps allowed up
 to a span of five, each weighted by DECAY for every skipped character, and is normalised.
-Characters are folded to 32 classes, so the kernel's feature space is small enough to be
-written out: the machine trained on kernel values against landmarks is folded into one
-weight for each subsequence, and scoring a string is a sum.
+Latin letters are folded to 26 classes, letters of other scripts to thousands (by a hash of
+the lower-case base letter); subsequences of the first have features of their own, those
+with any of the second share as many again by a hash. So the kernel's feature space is
+small enough to be written out: the machine trained on kernel values against landmarks is
+folded into one weight for each subsequence, and scoring a string is a sum.
 
 Labels belong to documents, offence to a few words of them. Training is therefore by
 multiple instances: of each toxic document the units that stand out, or else the one that scores highest,
@@ -31,6 +33,8 @@ DECAY = 0.5
 #: Places of the second and third character after the first.
 PATTERNS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 CLASSES = 32
+#: Classes of letters that are not Latin come after CLASSES. Features: those of the CLASSES, and as many hashed ones.
+OTHERS, PLAIN, SPACE = 4096, CLASSES**3, 2 * CLASSES**3
 LETTERS, START, END, DIGIT, SIGN, OTHER = range(1, 27), 27, 28, 29, 30, 31
 WINDOW, STEP = 24, 12
 LANDMARKS = 256
@@ -45,15 +49,32 @@ _ENDS = ".,;:!?\"'()[]{}<>|*#%&_-+=~`/\\…«»„“”‘’–—"
 
 
 def _class_of(c: str) -> int:
-    base = unicodedata.normalize("NFD", LOOKALIKES.get(c, c))[:1].lower()
+    base = unicodedata.normalize("NFD", LOOKALIKES.get(c, c))[:1].lower()[:1]
     if "a" <= base <= "z":
         return ord(base) - 96
     if c.isdigit():
         return DIGIT
-    return OTHER if c.isalpha() else SIGN
-
-
-_TABLE = np.array([_class_of(chr(c)) for c in range(0x250)] + [OTHER], dtype=np.int64)
+    if not c.isalpha() and (ord(c) < 0x900 or unicodedata.category(c)[0] != "M"):  # marks of later scripts are vowels
+        return SIGN
+    return CLASSES + (ord(base) * 0x9E3779B1 >> 8) % OTHERS
+
+
+_NEAR = 0x600
+_TABLE = np.array([_class_of(chr(c)) for c in range(_NEAR)], dtype=np.int64)
+_FAR: dict[int, int] = {}
+
+
+def _classes(points: np.ndarray) -> np.ndarray:
+    """Classes of code points; those beyond the table are worked out when met, and remembered."""
+    out = _TABLE[np.minimum(points, _NEAR - 1)]
+    far = np.flatnonzero(points >= _NEAR)
+    if len(far):
+        each, at = np.unique(points[far], return_inverse=True)
+        for p in each.tolist():
+            if p not in _FAR:
+                _FAR[p] = _class_of(chr(p))
+        out[far] = np.array([_FAR[p] for p in each.tolist()], dtype=np.int64)[at]
+    return out
 
 
 def _codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +86,7 @@ def _codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.zeros(ends[-1], dtype=np.int64)
     inner = np.ones(len(codes), dtype=bool)
     inner[ends - 1] = inner[ends - sizes] = False
-    codes[inner] = _TABLE[np.minimum(points, 0x250)]
+    codes[inner] = _classes(points)
     codes[ends - sizes], codes[ends - 1] = START, END
     heard = codes != SIGN  # signs put between letters are left out
     return codes[heard], np.repeat(np.arange(len(units)), sizes)[heard]
@@ -76,28 +97,34 @@ def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not units:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     codes, unit = _codes(units)
+    other = bool(len(codes)) and int(codes.max()) >= CLASSES
     keys, weights = [], []
     for a, b in PATTERNS:
         n = len(codes) - b
         if n <= 0:
             continue
         same = unit[:n] == unit[b:]
-        keys.append((unit[:n] << 15 | codes[:n] << 10 | codes[a : a + n] << 5 | codes[b:])[same])
+        x, y, z = codes[:n], codes[a : a + n], codes[b:]
+        key = x << 10 | y << 5 | z
+        if other:  # any class beyond the plain ones: a hashed feature
+            mixed = (((x * 0x9E3779B1 + y) * 0x85EBCA6B + z) * 0xC2B2AE35) >> 17 & PLAIN - 1
+            key = np.where((x | y | z) >= CLASSES, PLAIN | mixed, key)
+        keys.append((unit[:n] << 16 | key)[same])
         weights.append(np.full(len(keys[-1]), DECAY ** (b - 2)))
     key = np.concatenate(keys)
     order = np.argsort(key, kind="stable")
     key, weight = key[order], np.concatenate(weights)[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     value, key = np.add.reduceat(weight, first), key[first]
-    unit = key >> 15
+    unit = key >> 16
     norm = np.sqrt(np.bincount(unit, value * value, minlength=len(units)))
-    return unit, key & 32767, value / norm[unit]
+    return unit, key & SPACE - 1, value / norm[unit]
 
 
 def columns(units: list[str]) -> np.ndarray:
     """The feature vectors of units, a column for each."""
     unit, code, value = features(units)
-    out = np.zeros((CLASSES**3, len(units)), dtype=np.float32)
+    out = np.zeros((SPACE, len(units)), dtype=np.float32)
     out[code, unit] = value
     return out
 
@@ -138,9 +165,10 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np
 
 
 def units(text: str | None) -> list[str]:
-    """Lower-cased words of a whole text, and the runs of four and more ASCII single-character words put together."""
+    """Lower-cased words of a whole text, and the runs of four and more single-character words put together."""
     words = (text or "").lower().split()
-    data = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
+    raw = (text or "").encode("utf-32-le", "replace") if text and not text.isascii() else (text or "").encode()
+    data = np.frombuffer(raw, dtype=np.uint8 if not text or text.isascii() else np.uint32)
     blank = np.concatenate([[True], data <= 32, [True]])
     single = np.flatnonzero(blank[:-2] & ~blank[1:-1] & blank[2:])
     if len(single) >= 4:
@@ -215,13 +243,13 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model:
     """A model from labelled texts; with labels of one kind only, every score is near that label."""
     if not len(texts) or toxic.min() == toxic.max():
         known = len(texts) > 0
-        return Model(np.zeros(CLASSES**3), 0.0, 1e-3 * known, 3e3 if known and toxic.max() == 0 else -3e3)
+        return Model(np.zeros(SPACE), 0.0, 1e-3 * known, 3e3 if known and toxic.max() == 0 else -3e3)
     rng = np.random.default_rng(11)
     index: dict[str, int] = {}
     bags = [np.array(sorted({index.setdefault(x, len(index)) for w in units(t) for x in _windows(w) if x}), dtype=np.int64) for t in texts]
     words = np.array(list(index), dtype=object)
     if not len(words):
-        return Model(np.zeros(CLASSES**3), 0.0, 0.0, 0.0)
+        return Model(np.zeros(SPACE), 0.0, 0.0, 0.0)
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     pos, neg = (np.bincount(np.concatenate([b for b, y in zip(bags, toxic) if y == k] + [np.zeros(0, np.int64)]), minlength=len(words)) for k in (1, 0))
     share = (pos + neg + 1) / (n1 + n0 + 2)
@@ -266,39 +294,41 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 800) -> Model:
     """A model from at most `rows` toxic and `rows` other labelled documents, chosen by a hash of their ids, none held out.
 
-    That sample, bounded by `rows`, goes to one task; only the model reaches the driver.
+    Of several texts of an id the one with the least hash counts. That sample, bounded by
+    `rows`, goes to one task; only the model reaches the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.where("label > 0").orderBy(*order).limit(rows).union(known.where("label <= 0").orderBy(*order).limit(rows))
     # At most 2 * rows ids and labels: a broadcast of known size.
-    found = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    met = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    found = met.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "label")).alias("r")).select("doc_id", "r.text", "r.label")
     made = found.repartition(1).mapInArrow(_fitted, "model binary").first()
     return pickle.loads(made.model) if made else fit([], np.zeros(0))
 
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fits the model where the sample is, on one executor; repeated rows count once."""
+    """Fits the model where the sample is, on one executor."""
     rows = sorted({(i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns))})
     model = fit([t for _, t, _ in rows], np.array([y > 0 for _, _, y in rows], dtype=np.int64))
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
-def _scored(batches: Iterator[pa.RecordBatch], sent, text: int) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], sent, text: int, name: str) -> Iterator[pa.RecordBatch]:
     model = sent.value
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             score = model.score(part.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs and, as `_score`, the score of each text."""
+def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs and, as a column of that name, the score of each text; a column of docs with the name is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("text", F.col("text").cast("string"))
+    rows = docs.drop(name).withColumn("text", F.col("text").cast("string"))
     at = rows.columns.index("text")
-    return rows.mapInArrow(lambda it: _scored(it, sent, at), T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return rows.mapInArrow(lambda it: _scored(it, sent, at, name), T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, rows: int = 800) -> DataFrame:
@@ -311,4 +341,4 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
     """
     model = train(docs, labels, label, rows)
     out = scores(docs.select(F.col("doc_id").cast("bigint"), "text"), model)
-    return out.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
