@@ -84,34 +84,40 @@ class Model:
         return whole / np.maximum(np.sqrt((whole * whole).sum(axis=1, keepdims=True)), 1e-9)
 
     def score(self, vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-        """The labels of each vector's nearest neighbours, weighted by cosine; ties among neighbours go to the earlier row of the sample."""
+        """The labels of each vector's nearest neighbours, weighted by the eighth power of the cosine; of neighbours equally near at the limit, those earlier in the sample count."""
         near = vectors @ self.vectors.T
         k = min(neighbours, near.shape[1])
-        at = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+        closer, level = near > last, near == last
+        level &= np.cumsum(level, axis=1, dtype=np.int32) <= k - closer.sum(axis=1, keepdims=True)
+        i, at = np.nonzero(closer | level)  # k of each row
+        at = at.reshape(len(near), k)
         weight = np.maximum(np.take_along_axis(near, at, axis=1).astype(np.float64), 1e-6) ** 8
         return np.clip((weight * self.labels[at]).sum(axis=1) / weight.sum(axis=1), 0, 1)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(text, label): up to `rows` labelled documents, chosen by a hash of their ids, none held out."""
+    """(doc_id, text, label): up to `rows` labelled documents, chosen by a hash of their ids, none held out; of several texts of an id the one with the least hash."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most `rows` ids and labels: a broadcast of known size.
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    met = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    one = met.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "label")).alias("r"))
+    return one.select("doc_id", "r.text", "r.label")
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [counts(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([zlib.compress(np.minimum(t, 65535).astype(np.uint16).tobytes(), 1) for t, _ in out], pa.binary()), pa.array([f.tobytes() for _, f in out], pa.binary())], names=["doc_id", "label", "terms", "form"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([zlib.compress(t.astype(np.uint32).tobytes(), 1) for t, _ in out], pa.binary()), pa.array([f.tobytes() for _, f in out], pa.binary())], names=["doc_id", "label", "terms", "form"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 4096) -> Model | None:
-    """A model from at most `rows` labelled documents (a sample by hash of the id; bounds what the driver and every executor hold); None without any."""
-    found = sample(docs, labels, label, rows).mapInArrow(_featured, "doc_id bigint, label int, terms binary, form binary").orderBy("doc_id").limit(4 * rows).toArrow()
+    """A model from at most `rows` labelled documents, a row for each id (a sample by hash of the id; bounds what the driver and every executor hold); None without any."""
+    found = sample(docs, labels, label, rows).mapInArrow(_featured, "doc_id bigint, label int, terms binary, form binary").orderBy("doc_id").toArrow()
     if not found.num_rows:
         return None
-    terms = np.stack([np.frombuffer(zlib.decompress(t), np.uint16) for t in found.column("terms").to_pylist()]).astype(np.float32)
+    terms = np.stack([np.frombuffer(zlib.decompress(t), np.uint32) for t in found.column("terms").to_pylist()]).astype(np.float32)
     form = np.stack([np.frombuffer(t, np.float32) for t in found.column("form").to_pylist()])
     return Model(terms, form, found.column("label").to_numpy())
 
