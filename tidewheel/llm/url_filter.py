@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import cut
+from tidewheel.llm.common import cut, unused
 
 SEPARATOR = "\x01"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,13 +25,11 @@ _KEYS = "key string, kind int, host string, path string, verdict string"
 
 def parts(urls: DataFrame, url: str = "url") -> DataFrame:
     """`urls` with host and path (both empty where the URL is null or has no ://)."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring({url}, instr({url}, '://') + 3)")).otherwise(F.lit(""))
-    host = F.regexp_extract(F.col("_rest"), r"^[^/?#]*", 0)
-    path = F.regexp_extract(F.expr("substring(_rest, length(_host) + 1)"), r"^[^?#]*", 0)
-    return (
-        urls.withColumn("_rest", rest).withColumn("_host", host)
-        .withColumns({"host": F.translate("_host", _UPPER, _LOWER), "path": path}).drop("_rest", "_host")
-    )
+    inner, raw = unused(urls, "rest", "raw")
+    rest = F.when(F.instr(F.col(url), "://") > 0, F.substring(F.col(url), F.instr(F.col(url), "://") + 3, F.length(F.col(url)))).otherwise(F.lit(""))
+    tail = F.substring(F.col(inner), F.length(raw) + 1, F.length(inner))
+    split = urls.withColumn(inner, rest).withColumn(raw, F.regexp_extract(F.col(inner), r"^[^/?#]*", 0))
+    return split.withColumns({"host": F.translate(raw, _UPPER, _LOWER), "path": F.regexp_extract(tail, r"^[^?#]*", 0)}).drop(inner, raw)
 
 
 def _labels(host):
@@ -66,7 +64,8 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     like the new ones are replaced. No rules or no URLs: nothing special.
 
     The range partitioning is by (key, host, path) of the distinct (host, path) pairs, so
-    one frequent URL is one key, and a frequent host or prefix is split over partitions.
+    one frequent URL is one key, and a frequent host or prefix is split over partitions;
+    the rows of a frequent URL meet their verdict in a join whose large partitions AQE splits.
     A partition can start inside intervals that earlier ones opened: those rules are the
     prefixes of its first key, found by an equi-join of at most one key a partition. They
     (partitions x depth of nesting) are all that reaches the driver.
@@ -90,10 +89,12 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     for r in sorted(heads.join(rules, "key").select("part", "key", F.concat("host", "path").alias("rule"), "verdict").collect(), key=lambda r: (r.part, len(r.key), r.verdict)):
         opened.setdefault(r.part, []).append((r.key, r.rule, r.verdict))
     hits = line.mapInArrow(lambda it: _sweep(it, opened), "host string, path string, rule string, verdict string")
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
+    (inner,) = unused(split, "best")
+    # Cut, so that both sides of the join are plain shuffles and AQE can split the rows of a very common URL.
+    best = cut(hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias(inner)))
     found = split.join(best, ["host", "path"], "left")
     kept = [c for c in split.columns if c not in ("host", "path")]
-    return found.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return found.select(*kept, "host", "path", F.col(f"{inner}.rule").alias("rule"), F.coalesce(F.col(f"{inner}.verdict"), F.lit(default)).alias("verdict"))
 
 
 def rules_frame(spark, rules: list[tuple[str, str, str]]) -> DataFrame:
