@@ -14,12 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.llm.common import cut, small_side, unused
+
 #: Units of a period, about (each source has one at least).
 PERIOD = 200
 #: Documents of a bucket, about, within which a running sum is taken in one task.
 BUCKET = 512
 BLOCK_BYTES = 65536
-MAX_SOURCES = 20000
+#: An id that more than one of so many documents has is dealt to several buckets; so there are at most so many such ids.
+HEAVY = 100_000
 
 
 def shares(docs: DataFrame, power: float = 0.5, period: int = PERIOD) -> DataFrame:
@@ -33,52 +36,95 @@ def shares(docs: DataFrame, power: float = 0.5, period: int = PERIOD) -> DataFra
 def timetable(weights: DataFrame) -> DataFrame:
     """(source, share, period, nth, release, deadline, time): one period's schedule, nth from 0.
 
-    `weights` has source and share (whole, positive); sources of at most MAX_SOURCES,
-    which are brought together in one row. Of blocks with the same deadline the one of the
-    source with the larger share goes first, then of the first by name (null first).
+    `weights` has source and share (whole; others than positive are left out). Of blocks
+    with the same deadline the one of the source with the larger share goes first, then of
+    the first by name (null first).
+
+    A source with a share of one has the whole period for its block and the last of all
+    deadlines, and is the last among those that share it. So earliest-deadline-first is
+    run, as a fold over the blocks, for the sources with larger shares alone, and those of
+    one take the times left over, in order, by arithmetic: any number of sources will do.
+    The fold's work is the product of the number of sources with larger shares and their
+    blocks in a period (with `shares` at most about PERIOD each).
     """
-    one = weights.where("share > 0").groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("o"), "source", "share"))).alias("s"), F.sum("share").cast("int").alias("period"), F.count("*").alias("n"))
-    one = one.where(F.col("n") > 0).withColumn("s", F.when(F.col("n") <= MAX_SOURCES, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {MAX_SOURCES} sources"))))
-    # The fold's state: how many blocks of each source are done, and who had each time.
+    known = weights.where("share > 0").select("source", F.col("share").cast("bigint").alias("share"))
+    size = known.agg(F.sum("share").alias("period"))
+    larger = known.where("share > 1")
+    one = larger.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("o"), "source", "share"))).alias("s"), F.coalesce(F.sum("share"), F.lit(0)).alias("jobs"))
+    one = one.crossJoin(F.broadcast(size)).where("period is not null")  # a row each
+    # The fold's state: the time, how many blocks of each source are done, and who has had which time. At each step the
+    # due block that is released goes; where none is, time moves on to the next release (and sources of one fill the gap).
     step = """
-        aggregate(sequence(0, period - 1),
-          named_struct('done', transform(s, x -> 0), 'who', cast(array() as array<int>)),
-          (acc, t) -> aggregate(array(
-             array_min(filter(transform(s, (x, i) -> named_struct(
-                 'due', cast(((acc.done[i] + 1) * period + x.share - 1) div x.share as bigint), 'i', i,
-                 'ok', (acc.done[i] * period) div x.share <= t and acc.done[i] < x.share)), y -> y.ok)).i),
+        aggregate(if(jobs > 0, sequence(1L, jobs), cast(array() as array<bigint>)),
+          named_struct('t', 0L, 'done', transform(s, x -> 0L), 'who', cast(array() as array<struct<t: bigint, i: int>>)),
+          (acc, _) -> aggregate(array(greatest(acc.t, array_min(filter(transform(s, (x, i) -> if(acc.done[i] < x.share, (acc.done[i] * period) div x.share, null)), y -> y is not null)))),
              acc,
-             (a, w) -> named_struct('done', transform(a.done, (d, i) -> if(i = w, d + 1, d)), 'who', array_append(a.who, w))),
+             (a, t) -> aggregate(array(
+                 array_min(filter(transform(s, (x, i) -> named_struct(
+                     'due', ((a.done[i] + 1) * period + x.share - 1) div x.share, 'i', i,
+                     'ok', (a.done[i] * period) div x.share <= t and a.done[i] < x.share)), y -> y.ok)).i),
+                 a,
+                 (b, w) -> named_struct('t', t + 1, 'done', transform(b.done, (d, i) -> if(i = w, d + 1, d)), 'who', array_append(b.who, named_struct('t', t, 'i', w))))),
           acc -> acc.who)
     """
-    times = one.withColumn("who", F.expr(step)).select("period", "s", F.posexplode("who").alias("time", "i"))
-    times = times.select("period", "time", F.get("s", "i").alias("x")).select("period", "time", F.col("x.source").alias("source"), F.col("x.share").alias("share"))
+    folded = one.withColumn("who", F.expr(step)).select("period", "s", "who")
+    times = folded.select("period", "s", F.explode("who").alias("w")).select("period", F.col("w.t").alias("time"), F.get("s", F.col("w.i")).alias("x"))
     nth = F.row_number().over(Window.partitionBy("source").orderBy("time")) - 1
-    times = times.withColumn("nth", nth)
-    return times.select("source", "share", "period", "nth", F.expr("(nth * period) div share").alias("release"), F.expr("((nth + 1) * period + share - 1) div share").alias("deadline"), "time")
+    larger_times = times.select("period", "time", F.col("x.source").alias("source"), F.col("x.share").alias("share")).withColumn("nth", nth)
+    # The r-th time that is free: r and the busy times before it. Ranks over a row for each source.
+    free = known.where("share = 1").withColumn("r", F.row_number().over(Window.orderBy(F.asc_nulls_first("source"))).cast("bigint") - 1)
+    busy = folded.select("period", F.transform("who", lambda w, j: w.getField("t") - j).alias("busy"))
+    single_times = free.crossJoin(F.broadcast(busy)).select("period", (F.col("r") + F.size(F.filter("busy", lambda b: b <= F.col("r")))).alias("time"), "source", "share", F.lit(0).alias("nth"))
+    both = larger_times.union(single_times)
+    return both.select("source", "share", "period", "nth", F.expr("(nth * period) div share").alias("release"), F.expr("((nth + 1) * period + share - 1) div share").alias("deadline"), "time")
 
 
-def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET) -> DataFrame:
-    """docs with `_block` (bigint, from 0) and `_size`: each source's documents in the order of the hash of their ids, cut by bytes.
+def _blocks(docs: DataFrame, block_bytes: int, bucket: int, hash_: str, block: str) -> DataFrame:
+    """docs with a hash of the id and the block (bigint, from 0): each source's documents in the order of that hash, cut by bytes.
 
     A document starts in the block in which the bytes of those before it end. Running sums
-    go by buckets of hashes, about `bucket` documents each whatever the source's size,
-    and over the buckets' sums.
+    go by buckets of hashes, about `bucket` documents each whatever the source's size, and
+    over the buckets' sums. Documents of an id (or without one) that more than one document
+    in HEAVY has are dealt to parts of about `bucket` each by their place in the input, and
+    come after the others of their bucket.
     """
+    size, key, part, buckets, before, inner, kind, count = unused(docs, "size", "key", "part", "buckets", "before", "inner", "kind", "count")
+    total = docs.select(F.count("*").alias("n"))
+    often = docs.groupBy(F.col("doc_id").alias(kind)).agg(F.count("*").alias(count)).crossJoin(F.broadcast(total))
+    # At most HEAVY ids can be more than a share of one in HEAVY: a broadcast of known size.
+    often = often.where((F.col(count) > 8 * bucket) & (F.col(count) * HEAVY > F.col("n"))).select(kind, F.ceil(F.col(count) / bucket).cast("bigint").alias(count))
     sized = docs.withColumns({
-        "_h": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), "_size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1,
-        "_key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),  # never null, so that joins and windows by it share a shuffle
+        hash_: F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), size: F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1,
+        key: F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),  # never null, so that joins and windows by it share a shuffle
     })
-    per = sized.groupBy("_key").agg(F.count("*").alias("n")).select("_key", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket)).cast("bigint").alias("_buckets"))
+    sized = sized.join(F.broadcast(often), F.col("doc_id").eqNullSafe(F.col(kind)), "left")
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(count))
+    sized = sized.withColumn(part, F.when(F.col(count).isNull(), F.lit("")).otherwise(F.concat(hash_, F.lpad(place.cast("string"), 12, "0")))).drop(kind, count)
+    per = sized.groupBy(key).agg(F.count("*").alias(count)).select(key, F.greatest(F.lit(1), F.ceil(F.col(count) / bucket)).cast("bigint").alias(buckets))
     # A source's buckets are equal ranges of the hash's first 32 bits.
-    first = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
-    # A row for each source, of which there are MAX_SOURCES at most (`timetable` raises beyond).
-    dealt = sized.join(F.broadcast(per), "_key").withColumn("_bucket", F.shiftright(first * F.col("_buckets"), 32)).drop("_buckets")
-    sums = dealt.groupBy("_key", "_bucket").agg(F.sum("_size").alias("b"))
-    before = sums.select("_key", "_bucket", (F.sum("b").over(Window.partitionBy("_key").orderBy("_bucket")) - F.col("b")).alias("_before"))
-    inner = F.sum("_size").over(Window.partitionBy("_key", "_bucket").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
-    placed = dealt.withColumn("_inner", inner).join(before, ["_key", "_bucket"])
-    return placed.withColumn("_block", F.expr(f"(_before + _inner) div {block_bytes}")).drop("_key", "_bucket", "_before", "_inner")
+    first = F.conv(F.substring(hash_, 1, 8), 16, 10).cast("bigint")
+    dealt = sized.join(small_side(per), key).withColumn(kind, F.shiftright(first * F.col(buckets), 32)).drop(buckets)
+    sums = dealt.groupBy(key, kind, part).agg(F.sum(size).alias("b"))
+    starts = sums.select(key, kind, part, (F.sum("b").over(Window.partitionBy(key).orderBy(kind, part)) - F.col("b")).alias(before))
+    upto = Window.partitionBy(key, kind, part).orderBy(hash_, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumn(inner, F.sum(size).over(upto) - F.col(size)).join(starts, [key, kind, part])
+    return placed.withColumn(block, F.expr(f"(`{before}` + `{inner}`) div {block_bytes}")).select(*docs.columns, hash_, block)
+
+
+def _mixed(docs: DataFrame, weights: DataFrame | None, block_bytes: int, bucket: int, power: float) -> tuple[DataFrame, str]:
+    """docs with block, release, deadline, slot and the hash that orders the rows of a slot; the hash's name."""
+    plain = docs.drop("block", "release", "deadline", "slot")
+    hash_, block, name, place, share, period, release, deadline, time, whole, nth = unused(plain, "hash", "of", "name", "place", "share", "period", "released", "due", "time", "round", "nth")
+    plan = cut(timetable(weights if weights is not None else shares(plain, power)))
+    plan = plan.select(F.col("source").alias(name), F.col("nth").cast("bigint").alias(nth), F.col("share").alias(share), F.col("period").alias(period), F.col("release").alias(release), F.col("deadline").alias(deadline), F.col("time").alias(time))
+    ratio = plan.where(F.col(nth) == 0).select(name, share)
+    met = _blocks(plain, block_bytes, bucket, hash_, block).join(small_side(ratio), F.col("source").eqNullSafe(F.col(name)), "left").drop(name)
+    met = met.withColumns({whole: F.expr(f"`{block}` div `{share}`"), place: F.expr(f"`{block}` % `{share}`")})
+    # A row for each unit of the period.
+    met = met.join(small_side(plan.drop(share)), F.col("source").eqNullSafe(F.col(name)) & (F.col(place) == F.col(nth)), "left")
+    base = F.col(whole) * F.col(period)
+    out = met.withColumns({"block": F.col(block), "release": base + F.col(release), "deadline": base + F.col(deadline), "slot": base + F.col(time)})
+    return out.select(*plain.columns, "block", "release", "deadline", "slot", hash_), hash_
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET, power: float = 0.5) -> DataFrame:
@@ -86,25 +132,29 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BL
 
     `weights` (source, share: whole parts of the period that they add up to) are the
     targets; without them, `shares` of docs. A source that has no weight comes after all
-    others (slot null). Within a slot, rows go by (block's) hash of id and doc_id. No row
-    is dropped or repeated: a source that runs out leaves its slots empty. Null texts
-    weigh as empty ones; null ids and a null source are values like others. Columns of docs
-    named like the new ones are replaced.
+    others (slot null). Within a source, documents go by md5 of their id as text (a null id
+    as an empty text), then by id; those of one id in any order, and of an id that very
+    many documents have after the others of their bucket (see `_blocks`). No row is dropped
+    or repeated: a source that runs out leaves its slots empty. Null texts weigh as empty
+    ones; null ids and a null source are values like others. Columns of docs named like
+    the new ones are replaced, all others pass. Any number of sources: their rows are
+    broadcast up to a counted size, and joined by a shuffle beyond it.
     """
-    plain = docs.drop("block", "release", "deadline", "slot")
-    plan = timetable(weights if weights is not None else shares(plain, power))
-    plan = plan.select(F.col("source").alias("_s"), F.col("nth").cast("bigint").alias("_nth"), "share", "period", F.col("release").alias("_r"), F.col("deadline").alias("_d"), F.col("time").alias("_t"))
-    # A row a unit of a period: at most PERIOD + MAX_SOURCES rows, or as the weights given add up to.
-    ratio = plan.groupBy("_s").agg(F.first("share").alias("_share")).withColumnRenamed("_s", "_q")
-    cut_in = blocks(plain, block_bytes, bucket).join(F.broadcast(ratio), F.col("source").eqNullSafe(F.col("_q")), "left").drop("_q")
-    cut_in = cut_in.withColumns({"_round": F.expr("_block div _share"), "_place": F.expr("_block % _share")})
-    met = cut_in.join(F.broadcast(plan.drop("share")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_place") == F.col("_nth")), "left")
-    base = F.col("_round") * F.col("period")
-    out = met.withColumns({"block": F.col("_block"), "release": base + F.col("_r"), "deadline": base + F.col("_d"), "slot": base + F.col("_t")})
-    return out.select(*plain.columns, "block", "release", "deadline", "slot", "_h")
-
-
-def mixed(docs: DataFrame, **kinds) -> DataFrame:
-    """docs in mixed order: partitions are ranges of slots, each sorted; the columns of docs."""
-    out = mix(docs, **kinds)
-    return out.repartitionByRange(F.asc_nulls_last("slot"), "_h", "doc_id").sortWithinPartitions(F.asc_nulls_last("slot"), "_h", "doc_id").select(*docs.columns)
+    out, hash_ = _mixed(docs, weights, block_bytes, bucket, power)
+    return out.drop(hash_)
+
+
+def mixed(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET, power: float = 0.5) -> DataFrame:
+    """docs in mixed order: partitions are ranges of slots, each sorted by slot, hash and id; the columns of docs."""
+    out, hash_ = _mixed(docs, weights, block_bytes, bucket, power)
+    order = (F.asc_nulls_last("slot"), hash_, "doc_id")
+    plain = out.repartitionByRange(*order).sortWithinPartitions(*order)
+    clash = {"block", "release", "deadline", "slot"} & set(docs.columns)
+    return plain.select(*docs.columns) if not clash else _with_own(docs, clash, weights, block_bytes, bucket, power)
+
+
+def _with_own(docs: DataFrame, clash: set[str], weights: DataFrame | None, block_bytes: int, bucket: int, power: float) -> DataFrame:
+    """`mixed` for docs that have columns of the schedule's names, which are kept under others meanwhile."""
+    names = dict(zip(sorted(clash), unused(docs, *(f"own_{c}" for c in sorted(clash)))))
+    out = mixed(docs.withColumnsRenamed(names), weights, block_bytes, bucket, power)
+    return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
