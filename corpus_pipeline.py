@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, "toxic")
     if not model.trained:
         return docs.select(*DOCUMENT)
-    return toxicity.scores(docs.select(*DOCUMENT), model).where("_score < 0.5").select(*DOCUMENT)
+    return toxicity.scores(docs.select(*DOCUMENT), model).where("score < 0.5").select(*DOCUMENT)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
