@@ -1,10 +1,14 @@
 """Line deduplication by a log-template tree, in DataFrame operations only.
 
 The tree has a fixed depth: a line goes by its number of tokens, then by its leading
-tokens, to a leaf. Digits are masked beforehand, as fields that vary. In a leaf the most
-frequent line leads; lines that agree with it in enough places are of its template, whose
-other places are variable fields, and every other line is a template of its own. A
-template that recurs across documents stays in the first of them and is dropped elsewhere.
+tokens, to a leaf. Digits are masked beforehand, as fields that vary. A leaf has a list of
+templates. The first is led by the leaf's most frequent line: lines that agree with it in
+enough places are of it, whose other places are variable fields. Among the leaf's other
+lines, words met at a place too seldom to recur are variable fields; lines that are the
+same but for these, in as many places, are of one template, and every other line is a
+template of its own. (Leading by one line after another would take a round for each
+template of a leaf; this takes one for all.) A template that recurs across documents stays
+in the first of them and is dropped elsewhere.
 """
 
 from __future__ import annotations
@@ -12,60 +16,86 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import checkpoint_folder, cut
+from tidewheel.llm.common import checkpoint_folder, cut, forget, unused
 
 LEADING, AGREE, LEAST_TOKENS, LEAST_DOCS = 3, 0.8, 4, 3
+_LINE, _TEMPLATE = ["line", "line2"], ["template", "template2"]
 
 
 def _tokens(line):
     return F.array_remove(F.split(F.regexp_replace(line, "[0-9]+", "#"), r"\s+"), "")
 
 
+def _two(*parts) -> tuple:
+    """Two hashes of 64 bits, by both of which lines and templates are told apart."""
+    return F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with the key of the row's document (`_k`) and the number by which documents are told apart (`_doc`)."""
-    key = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return docs.withColumn("_k", key).withColumn("_doc", F.coalesce(F.col("doc_id").cast("bigint"), F.col("_k")))
+    """(k, doc, text): doc tells documents apart (by id, without one by text); with it, k is the key of a row's text."""
+    one = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("text"))
+    return one.select(_key("doc", "text").alias("k"), F.coalesce("doc", _key("doc", "text")).alias("doc"), "text")
+
 
+def _key(doc_id, text):
+    return F.xxhash64(doc_id, text)
 
-def _lines(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
-    """(_k, _doc, pos, leaf, line): each line of each document, by hashes."""
-    each = docs.select("_k", "_doc", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "raw"))
-    each = each.select("_k", "_doc", "pos", _tokens("raw").alias("t")).where(F.size("t") >= least_tokens)
-    return each.select("_k", "_doc", "pos", F.xxhash64(F.size("t"), F.slice("t", 1, leading)).alias("leaf"), F.xxhash64("t").alias("line"))
 
+def _lines(keyed: DataFrame, leading: int, least_tokens: int) -> DataFrame:
+    """(k, doc, pos, leaf, line, line2): each line of each document, by hashes."""
+    each = keyed.select("k", "doc", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    each = each.select("k", "doc", "pos", _tokens("raw").alias("t")).where(F.size("t") >= least_tokens)
+    line, line2 = _two("t")
+    return each.select("k", "doc", "pos", F.xxhash64(F.size("t"), F.slice("t", 1, leading)).alias("leaf"), line.alias("line"), line2.alias("line2"))
 
-def _candidates(docs: DataFrame, leading: int, least_tokens: int, least_docs: int) -> DataFrame:
+
+def _candidates(keyed: DataFrame, leading: int, least_tokens: int, least_docs: int) -> DataFrame:
     """The lines of leaves that hold least_docs lines at least; no template of another leaf can recur. Written once, by columns."""
-    spark, folder = docs.sparkSession, checkpoint_folder(docs.sparkSession)
-    _lines(docs, leading, least_tokens).write.parquet(f"{folder}/lines")
+    spark, folder = keyed.sparkSession, checkpoint_folder(keyed.sparkSession)
+    _lines(keyed, leading, least_tokens).write.parquet(f"{folder}/lines")
     lines = spark.read.parquet(f"{folder}/lines")
     # Cut, as below: an aggregate that is its own shuffle's end leaves AQE no way to split a frequent key of the join.
     full = cut(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("leaf"))
     lines.join(full, "leaf", "left_semi").write.parquet(f"{folder}/candidates")
+    forget(spark, f"{folder}/lines")
     return spark.read.parquet(f"{folder}/candidates")
 
 
-def _templates(docs: DataFrame, lines: DataFrame, agree: float) -> DataFrame:
-    """(line, template) for lines whose template is led by another line of the leaf."""
-    distinct = cut(lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("_doc", "pos", "_k")).alias("at")))
-    led = distinct.groupBy("leaf").agg(F.count("*").alias("m"), F.min(F.struct(-F.col("n"), "at", "line")).alias("lead"))
-    led = cut(led.where(F.col("m") > 1).select("leaf", F.col("lead.line").alias("leader")))
-    wanted = distinct.join(led, "leaf").groupBy(F.col("at._k").alias("_k")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "leaf", "line", "leader")).alias("of"))
-    found = wanted.join(docs.select("_k", F.col("text").cast("string").alias("text")), "_k").select(F.split("text", "\n").alias("all"), F.explode("of").alias("of"))
-    variants = cut(found.select("of.leaf", "of.line", "of.leader", _tokens(F.get("all", "of.pos")).alias("t")).dropDuplicates(["line"]))
-    heads = variants.where("line = leader").select("leaf", F.col("t").alias("lt"))
-    alike = F.size(F.filter(F.zip_with("t", "lt", lambda a, b: a == b), lambda x: x)) >= F.lit(agree) * F.size("t")
-    return variants.where("line <> leader").join(heads, "leaf").where(alike).select("line", F.col("leader").alias("template"))
+def _variants(keyed: DataFrame, lines: DataFrame) -> DataFrame:
+    """(leaf, line, line2, n, leads, t) of leaves with several lines: each line once, how often it is there, whether it leads, and its tokens."""
+    distinct = cut(lines.groupBy("leaf", *_LINE).agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos", "k")).alias("at")))
+    led = distinct.groupBy("leaf").agg(F.count("*").alias("m"), F.min(F.struct(-F.col("n"), "at", *_LINE)).alias("lead"))
+    led = cut(led.where(F.col("m") > 1).select("leaf", F.col("lead.line").alias("l"), F.col("lead.line2").alias("l2")))
+    leads = (F.col("line") == F.col("l")) & (F.col("line2") == F.col("l2"))
+    one = F.struct(F.col("at.pos").alias("pos"), "leaf", *_LINE, "n", leads.alias("leads"))
+    wanted = distinct.join(led, "leaf").groupBy(F.col("at.k").alias("k"), F.col("at.doc").alias("doc")).agg(F.collect_list(one).alias("of"))
+    found = wanted.join(keyed, ["k", "doc"]).select(F.split("text", "\n").alias("all"), F.explode("of").alias("of"))
+    return cut(found.select("of.leaf", "of.line", "of.line2", "of.n", "of.leads", _tokens(F.get("all", "of.pos")).alias("t")).dropDuplicates(_LINE))
 
 
-def recurring(docs: DataFrame, leading: int = LEADING, agree: float = AGREE, least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(_k, drop array<int>): by document key, the places of lines whose template recurs and stays elsewhere."""
-    lines = _candidates(docs, leading, least_tokens, least_docs)
-    templates = _templates(docs, lines, agree)
-    placed = lines.join(templates, "line", "left").select("_k", "_doc", "pos", F.coalesce("template", "line").alias("template"))
-    spread = placed.select("template", "_doc").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("_doc").alias("first")).where(F.col("docs") >= least_docs)
-    gone = placed.join(cut(spread), "template").where("_doc <> first").select("_k", "pos").distinct()
-    return gone.groupBy("_k").agg(F.collect_list("pos").alias("drop"))
+def _templates(variants: DataFrame, leading: int, agree: float, least_docs: int) -> DataFrame:
+    """(line, line2, template, template2) for lines whose template is not they themselves."""
+    heads = variants.where("leads").select("leaf", F.col("t").alias("lt"), *[F.col(a).alias(b) for a, b in zip(_LINE, _TEMPLATE)])
+    alike = F.size(F.filter(F.zip_with("t", "lt", lambda a, b: a == b), lambda x: x)) >= F.lit(agree) * F.size("t")
+    judged = cut(variants.where("not leads").join(heads, "leaf").select("leaf", *_LINE, "n", "t", *_TEMPLATE, F.coalesce(alike, F.lit(False)).alias("alike")))
+    rest = judged.where("not alike").select("leaf", *_LINE, "n", "t")
+    words = rest.select("leaf", *_LINE, "n", F.posexplode("t").alias("pos", "word")).where(F.col("pos") >= leading)
+    seldom = cut(words.groupBy("leaf", "pos", "word").agg(F.sum("n").alias("c")).where(F.col("c") < least_docs).select("leaf", "pos", "word"))
+    fields = words.join(seldom, ["leaf", "pos", "word"]).groupBy(*_LINE).agg(F.collect_list("pos").alias("fields"))
+    # No token is empty, so an empty one can stand for a field.
+    shape = F.transform("t", lambda x, i: F.when(F.array_contains("fields", i), F.lit("")).otherwise(x))
+    masked = rest.join(fields, _LINE).where(F.size("t") - F.size("fields") >= F.lit(agree) * F.size("t")).select(*_LINE, shape.alias("shape"))
+    return judged.where("alike").select(*_LINE, *_TEMPLATE).union(masked.select(*_LINE, *[h.alias(c) for h, c in zip(_two("shape"), _TEMPLATE)]))
+
+
+def recurring(keyed: DataFrame, leading: int = LEADING, agree: float = AGREE, least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(k, doc, drop array<int>): by document, the places of lines whose template recurs and stays elsewhere."""
+    lines = _candidates(keyed, leading, least_tokens, least_docs)
+    templates = _templates(_variants(keyed, lines), leading, agree, least_docs)
+    placed = lines.join(templates, _LINE, "left").select("k", "doc", "pos", *[F.coalesce(t, c).alias(t) for t, c in zip(_TEMPLATE, _LINE)])
+    spread = placed.select(*_TEMPLATE, "doc").distinct().groupBy(*_TEMPLATE).agg(F.count("*").alias("docs"), F.min("doc").alias("first")).where(F.col("docs") >= least_docs)
+    gone = placed.join(cut(spread), _TEMPLATE).where("doc <> first").select("k", "doc", "pos").distinct()
+    return gone.groupBy("k", "doc").agg(F.collect_list("pos").alias("drop"))
 
 
 def dedup(docs: DataFrame, **kinds) -> DataFrame:
@@ -77,21 +107,26 @@ def dedup(docs: DataFrame, **kinds) -> DataFrame:
     by their text); it stays in the one with the smallest doc_id, however often it is
     there. A line is of its leaf's leading template if at least the share `agree` of its
     tokens equal the leader's at the same places. The leader is the leaf's most frequent
-    line, of several the one met first (doc_id, place).
+    line, of several the one met first (doc_id, place). Of the other lines, a token beyond
+    the leading ones that is met fewer than least_docs times at its place among them is a
+    field, and lines with the same fields and otherwise the same tokens are of a template;
+    but a line of which more than the share 1 - `agree` is fields has its own.
 
     Null texts stay null (no lines); an empty text is one empty line. Repeated rows with
-    one doc_id and text count as one document and each return. Other columns pass through;
-    columns named n_lines or n_dropped are replaced. Every row of docs returns, also one
-    that has lost every line. Frequent lines are counted before they are shuffled, and
-    every join is an equi-join on hashes whose frequent keys AQE can split.
+    one doc_id and text count as one document and each return. Other columns pass through,
+    whatever their names; columns named n_lines or n_dropped are replaced. Every row of
+    docs returns, also one that has lost every line. Frequent lines are counted before they
+    are shuffled, and every join is an equi-join whose frequent keys AQE can split. Lines
+    and templates are told apart by 128 bits.
     """
-    keyed = _keyed(docs.drop("n_lines", "n_dropped"))
-    gone = recurring(keyed, **kinds)
-    met = keyed.join(gone, "_k", "left")
-    lines = F.split(F.col("text").cast("string"), "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("drop", i))
-    text = F.when(F.col("drop").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
-    n = F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("bigint")
-    out = met.withColumns({"n_lines": n, "n_dropped": F.coalesce(F.size("drop"), F.lit(0)).cast("bigint"), "_text": text})
-    out = out.withColumn("n_dropped", F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.col("n_dropped")).cast("bigint"))
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    plain = docs.drop("n_lines", "n_dropped")
+    k, doc, drop, lines = unused(plain, "k", "doc", "drop", "lines")
+    gone = recurring(_keyed(plain), **kinds).toDF(k, doc, drop)
+    doc_id, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    met = plain.withColumn(k, _key(doc_id, text)).withColumn(doc, F.coalesce(doc_id, F.col(k))).join(gone, [k, doc], "left")
+    met = met.withColumn(lines, F.split(text, "\n"))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n")
+    out = F.when(F.col(drop).isNull(), text).otherwise(kept)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
+    n_dropped = F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("bigint")
+    return met.select(*[out.alias("text") if c == "text" else F.col(c) for c in plain.columns], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

@@ -85,14 +85,14 @@ class Model:
 
     def score(self, vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
         """The labels of each vector's nearest neighbours, weighted by the eighth power of the cosine; of neighbours equally near at the limit, those earlier in the sample count."""
-        near = vectors @ self.vectors.T
+        near = np.round(vectors.astype(np.float64) @ self.vectors.T.astype(np.float64), 9)  # so that equal vectors are equally near, wherever they lie in a block
         k = min(neighbours, near.shape[1])
         last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
         closer, level = near > last, near == last
         level &= np.cumsum(level, axis=1, dtype=np.int32) <= k - closer.sum(axis=1, keepdims=True)
         i, at = np.nonzero(closer | level)  # k of each row
         at = at.reshape(len(near), k)
-        weight = np.maximum(np.take_along_axis(near, at, axis=1).astype(np.float64), 1e-6) ** 8
+        weight = np.maximum(np.take_along_axis(near, at, axis=1), 1e-6) ** 8
         return np.clip((weight * self.labels[at]).sum(axis=1) / weight.sum(axis=1), 0, 1)
 
 

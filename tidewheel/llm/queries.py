@@ -91,9 +91,19 @@ with lines as (
   select n, head, t, count(*) as c, min((doc_id, pos)) as met from keyed group by all
 ), leaves as (
   select n, head, arg_min(t, (-c, met)) as leader from variants group by n, head having count(*) > 1 and sum(c) >= 3
-), template as (
-  select v.t, case when l.leader is not null and len(list_filter(list_zip(v.t, l.leader), lambda p: p[1] = p[2])) >= 0.8 * v.n then l.leader else v.t end as template
+), judged as (
+  select v.n, v.head, v.t, v.c, l.leader, l.leader is not null and len(list_filter(list_zip(v.t, l.leader), lambda p: p[1] = p[2])) >= 0.8 * v.n as led
   from variants v left join leaves l on v.n = l.n and v.head = l.head
+), words as (
+  select n, head, t, c, unnest(t) as word, generate_subscripts(t, 1) as p from judged where leader is not null and not led
+), seldom as (
+  select n, head, p, word from words where p > 3 group by all having sum(c) < 3
+), fields as (
+  select w.t, list(w.p) as fields from words w join seldom s on w.n = s.n and w.head = s.head and w.p = s.p and w.word = s.word group by w.t
+), template as (
+  select j.t, case when j.led then j.leader when f.t is not null and j.n - len(f.fields) >= 0.8 * j.n
+                   then list_transform(j.t, lambda x, i: case when list_contains(f.fields, i) then '' else x end) else j.t end as template
+  from judged j left join fields f on j.t = f.t
 ), placed as (
   select k.doc_id, k.pos, m.template from keyed k join template m on k.t = m.t
 ), spread as (

@@ -5,8 +5,9 @@ length has a content-chosen anchor (see `anchors`), and equal windows have equal
 so an anchor's surroundings (the bytes of its windows, at most 168) are sorted only if the
 anchor occurs elsewhere in other surroundings. Where whole surroundings are equal, all but
 the first repeat it by that alone. The rest is dealt to shards by anchor, each of which is
-sorted by induction (see `induced`); windows equal in their common prefix of WINDOW bytes are
-neighbours in the order, and all but the first of them are removed.
+sorted by external induction (see `induced`), which carries common prefixes along: windows
+with a common prefix of WINDOW bytes or more are neighbours in the order, and all but the
+first of them are removed.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 from tidewheel.llm import anchors
 from tidewheel.llm.anchors import WINDOW
 from tidewheel.llm.common import checkpoint_folder, cut
-from tidewheel.llm.induced import suffixes
+from tidewheel.llm.induced import BLOCK, EQUAL, room, suffixes
 
 #: Surroundings of an anchor up to which they make one shard; more are dealt by CELL windows each, by the bytes those share.
 MANY, CELL = 256, 4
-#: Bytes of a shard's text that are held in memory; more lie in an unnamed file.
+#: Bytes of a shard's text, and of each other array as long, that are held in memory; more lie in unnamed files.
 HELD = 16 << 20
 #: Partitions of texts to be sorted for each usual one.
 FINER = 4
@@ -215,92 +216,111 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([1] * len(rows) + [0] * len(gone), pa.int32()), *(pa.array(columns[i], pa.int64()) for i in range(5)), pa.array(columns[5], pa.binary())], names=["kind", "shard", "doc", "k", "pack", "length", "body"])
 
 
-class _Text:
-    """The bodies of a partition, one after the other with a mark between, in memory or in an unnamed file."""
+class _Rows:
+    """Numbers appended part by part, in memory or (beyond HELD bytes) in an unnamed file, read as one array."""
 
-    def __init__(self) -> None:
-        self.parts, self.file, self.size, self.held = [], None, 0, 0
+    def __init__(self, kind, width: int = 1) -> None:
+        self.parts, self.file, self.kind, self.width, self.size, self.held = [], None, np.dtype(kind), width, 0, 0
 
-    def add(self, body: bytes) -> None:
-        self.parts.append(np.frombuffer(body, np.uint8).astype(np.uint16) + 1)
-        self.parts.append(np.zeros(1, np.uint16))
-        self.size += len(body) + 1
-        self.held += len(body) + 1
+    def add(self, part: np.ndarray) -> None:
+        self.parts.append(np.ascontiguousarray(part, dtype=self.kind))
+        self.size += part.size
+        self.held += self.parts[-1].nbytes
         if self.held > HELD:
             self.file = self.file or tempfile.TemporaryFile()
             self._out()
 
     def _out(self) -> None:
-        self.file.write(np.concatenate(self.parts).tobytes())
+        for part in self.parts:
+            self.file.write(part.tobytes())
         self.parts, self.held = [], 0
 
     def whole(self) -> np.ndarray:
+        shape = (self.size // self.width, self.width) if self.width > 1 else (self.size,)
         if self.file is None:
-            return np.concatenate(self.parts)
-        if self.parts:
-            self._out()
+            return np.concatenate(self.parts).reshape(shape)
+        self._out()
         self.file.flush()
-        return np.memmap(self.file, np.uint16, "r", shape=(self.size,))
+        return np.memmap(self.file, self.kind, "r", shape=shape)
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges removed from a partition's shards; ranges that came with them pass."""
-    text, kept = _Text(), []
+    """Ranges removed from a partition's shards; ranges that came with them pass.
+
+    The bodies make one text, with a mark between; it and its rows (doc, k, pack, windows
+    that start in the body, place after the body) are in memory only up to HELD bytes.
+    """
+    text, table, end = _Rows(np.uint16), _Rows(np.int64, 5), 0
     for batch in batches:
         kind, doc, k, pack, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4, 5))
         known = kind == 0
         yield _found(0, np.zeros(known.sum()), doc[known], k[known], pack[known], length[known])
-        bodies = batch.column(6)
         at = np.flatnonzero(~known)
-        kept.append(np.stack([doc[at], k[at], pack[at], length[at], np.array([len(bodies[i].as_py()) for i in at.tolist()], dtype=np.int64)]))
-        for i in at.tolist():
-            text.add(bodies[i].as_py())
+        if not len(at):
+            continue
+        bodies = [b.as_py() for b in batch.column(6).take(pa.array(at))]
+        sizes = np.array([len(b) + 1 for b in bodies], dtype=np.int64)
+        each = np.zeros(sizes.sum(), np.uint16)
+        ends = np.cumsum(sizes)
+        inner = np.ones(len(each), bool)
+        inner[ends - 1] = False
+        each[inner] = np.frombuffer(b"".join(bodies), np.uint8).astype(np.uint16) + 1
+        text.add(each)
+        table.add(np.stack([doc[at], k[at], pack[at], length[at], end + ends], axis=1))
+        end += int(ends[-1])
     if not text.size:
         return
-    doc, k, pack, windows, sizes = np.concatenate(kept, axis=1)
-    whole = text.whole()
-    offset = np.cumsum(sizes + 1) - sizes - 1
-    removed = np.zeros(len(whole), bool)
-    _mark(whole, offset, windows, doc, k, pack, removed)
-    flagged = np.flatnonzero(removed)
-    if len(flagged):
-        owner = np.searchsorted(offset, flagged, "right") - 1
+    rows = table.whole()
+    ends = room(len(rows), np.int64, HELD)
+    ends[:] = rows[:, 4]
+    removed = room(text.size, bool, HELD)
+    _mark(text.whole(), rows, ends, removed)
+    for at in range(0, len(removed), BLOCK):
+        flagged = np.flatnonzero(removed[at : at + BLOCK]) + at
+        if not len(flagged):
+            continue
+        owner = np.searchsorted(ends, flagged, "right")
         new = np.concatenate([[True], (np.diff(flagged) != 1) | (np.diff(owner) != 0)])
         first = flagged[new]
         last = flagged[np.append(np.flatnonzero(new)[1:], len(flagged)) - 1]
-        who = owner[new]
-        yield _found(0, np.zeros(len(first)), doc[who], k[who], pack[who] + ((first - offset[who]) << 14), last - first + WINDOW)
+        mine = rows[owner[new]]
+        begin = np.where(owner[new] > 0, ends[np.maximum(owner[new] - 1, 0)], 0)
+        yield _found(0, np.zeros(len(first)), mine[:, 0], mine[:, 1], mine[:, 2] + ((first - begin) << 14), last - first + WINDOW)
+
 
+def _mark(text: np.ndarray, rows: np.ndarray, ends: np.ndarray, removed: np.ndarray) -> None:
+    """Marks every window start that has an equal window at an earlier place.
 
-def _mark(text: np.ndarray, offset: np.ndarray, windows: np.ndarray, doc: np.ndarray, k: np.ndarray, pack: np.ndarray, removed: np.ndarray) -> None:
-    """Marks every window start that has an equal window at an earlier place."""
-    held = np.zeros(0, np.int64)
-    for block in suffixes(text, 257, reach=WINDOW):
+    Of the run of equal windows that is open at a block's end only the earliest goes on.
+    """
+    held, open_ = np.zeros(0, np.int64), EQUAL  # its place; the least common prefix met since
+    for block, common in suffixes(text, 257, reach=WINDOW):
         block = block.astype(np.int64)
-        owner = np.searchsorted(offset, block, "right") - 1
-        block = np.concatenate([held, block[block - offset[owner] < windows[owner]]])
-        if len(block):
-            held = _classes(text, block, offset, doc, k, pack, removed, False)
-    if len(held):
-        _classes(text, held, offset, doc, k, pack, removed, True)
-
-
-def _classes(text: np.ndarray, block: np.ndarray, offset: np.ndarray, doc: np.ndarray, k: np.ndarray, pack: np.ndarray, removed: np.ndarray, end: bool) -> np.ndarray:
-    """Settles the runs of equal windows of a sorted block; returns the last run, which may go on (of it the earliest, the others being settled)."""
-    same = np.ones(len(block) - 1, bool)
-    for from_ in range(0, WINDOW, 4):  # common prefixes of neighbours, as far as they still agree
-        at = np.flatnonzero(same)
-        for j in range(from_, from_ + 4):
-            same[at] &= text[block[at] + j] == text[block[at + 1] + j]
-    run = np.concatenate([[0], np.cumsum(~same)])
-    owner = np.searchsorted(offset, block, "right") - 1
-    place = pack[owner] + ((block - offset[owner]) << 14)
-    order = np.lexsort((place, k[owner], doc[owner], run))
-    first = np.concatenate([[True], run[order][1:] != run[order][:-1]])
-    lead = order[first]  # the earliest of each run
-    own = (place == place[lead[run]]) & (doc[owner] == doc[owner][lead[run]]) & (k[owner] == k[owner][lead[run]])  # the same place met in two surroundings
-    removed[block[~own]] = True
-    return block[lead[-1:]] if not end else block[:0]
+        owner = np.searchsorted(ends, block, "right")
+        offset = np.where(owner > 0, ends[np.maximum(owner - 1, 0)], 0)
+        at = np.flatnonzero(block - offset < rows[:, 3][owner])
+        if not len(at):
+            open_ = min(open_, int(common.min(initial=EQUAL)))
+            continue
+        low = np.minimum.reduceat(common[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1]))
+        low[0] = min(int(low[0]), open_)
+        open_ = int(common[at[-1] + 1 :].min(initial=EQUAL))
+        block, new = np.concatenate([held, block[at]]), np.concatenate([np.ones(len(held), bool), low < WINDOW])
+        run = np.cumsum(new)
+        owner = np.searchsorted(ends, block, "right")
+        mine = rows[owner]
+        doc, k, place = mine[:, 0], mine[:, 1], mine[:, 2] + ((block - np.where(owner > 0, ends[np.maximum(owner - 1, 0)], 0)) << 14) >> 14
+        size = np.bincount(run)
+        several = np.flatnonzero(size[run] > 1)
+        if len(several):
+            order = several[np.lexsort((place[several], k[several], doc[several], run[several]))]
+            first = np.concatenate([[True], run[order][1:] != run[order][:-1]])
+            lead = order[first][np.cumsum(first) - 1]  # the earliest of each run
+            own = (place[order] == place[lead]) & (doc[order] == doc[lead]) & (k[order] == k[lead])  # the same place met in two surroundings
+            removed[block[order[~own]]] = True
+            held = block[lead[-1:]] if run[order[-1]] == run[-1] else block[-1:]
+        else:
+            held = block[-1:]
 
 
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -355,7 +375,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     of = marked.groupBy("doc", "k").agg(F.collect_list("a").alias("of"))
     packed = _compressed(documents)
     met = of.join(packed, ["doc", "k"])
-    # Sorting takes some forty bytes for each byte of a shard's text, so shards are a fraction of a usual partition.
+    # Sorting in memory is the faster, so shards are a fraction of a usual partition; beyond it, it goes by way of files.
     parts = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = met.select("doc", "k", "z", "of").mapInArrow(_pieces, _PIECES).repartition(parts, "shard")
     ranges = found.where("kind = 0").select("doc", "k", "pack", "length").union(pieces.mapInArrow(_sorted, _FOUND).select("doc", "k", "pack", "length"))
