@@ -27,7 +27,12 @@ HEAVY = 100_000
 
 def shares(docs: DataFrame, power: float = 0.5, period: int = PERIOD) -> DataFrame:
     """(source, share): whole shares of a period in proportion to each source's bytes to a power, one at least."""
-    sizes = docs.groupBy("source").agg(F.sum(F.octet_length("text")).cast("double").alias("bytes"))
+    return _shares(docs.select("source", F.octet_length("text").alias("bytes")), power, period)
+
+
+def _shares(rows: DataFrame, power: float, period: int = PERIOD) -> DataFrame:
+    """The same from (source, bytes) of each document."""
+    sizes = rows.groupBy("source").agg(F.sum("bytes").cast("double").alias("bytes"))
     weight = F.pow(F.coalesce("bytes", F.lit(0.0)) + 1, F.lit(power))
     total = Window.partitionBy(F.lit(1))  # over a row for each source
     return sizes.withColumn("w", weight).select("source", F.greatest(F.lit(1), F.round(F.col("w") / F.sum("w").over(total) * period)).cast("int").alias("share"))
@@ -79,7 +84,12 @@ def timetable(weights: DataFrame) -> DataFrame:
     return both.select("source", "share", "period", "nth", F.expr("(nth * period) div share").alias("release"), F.expr("((nth + 1) * period + share - 1) div share").alias("deadline"), "time")
 
 
-def _blocks(docs: DataFrame, block_bytes: int, bucket: int, hash_: str, block: str) -> DataFrame:
+def _thin(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, bytes, row): what weights and blocks are worked out from, written once so that docs are read twice in all."""
+    return cut(docs.select("doc_id", "source", F.octet_length("text").alias("bytes"), F.monotonically_increasing_id().alias("row")))
+
+
+def _blocks(docs: DataFrame, thin: DataFrame, block_bytes: int, bucket: int, hash_: str, block: str) -> DataFrame:
     """docs with a hash of the id and the block (bigint, from 0): each source's documents in the order of that hash, cut by bytes.
 
     A document starts in the block in which the bytes of those before it end. Running sums
@@ -88,26 +98,29 @@ def _blocks(docs: DataFrame, block_bytes: int, bucket: int, hash_: str, block: s
     in HEAVY has are dealt to parts of about `bucket` each by their place in the input, and
     come after the others of their bucket.
     """
-    size, key, part, buckets, before, inner, kind, count = unused(docs, "size", "key", "part", "buckets", "before", "inner", "kind", "count")
-    total = docs.select(F.count("*").alias("n"))
-    often = docs.groupBy(F.col("doc_id").alias(kind)).agg(F.count("*").alias(count)).crossJoin(F.broadcast(total))
+    size, key, part, of, before, inner, kind, count, row = unused(docs, "size", "key", "part", "buckets", "before", "inner", "kind", "count", "row")
+    total = thin.count()
+    often = thin.groupBy(F.col("doc_id").alias(kind)).agg(F.count("*").alias(count)).where((F.col(count) > 8 * bucket) & (F.col(count) * HEAVY > total))
     # At most HEAVY ids can be more than a share of one in HEAVY: a broadcast of known size.
-    often = often.where((F.col(count) > 8 * bucket) & (F.col(count) * HEAVY > F.col("n"))).select(kind, F.ceil(F.col(count) / bucket).cast("bigint").alias(count))
-    sized = docs.withColumns({
-        hash_: F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), size: F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1,
-        key: F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),  # never null, so that joins and windows by it share a shuffle
-    })
-    sized = sized.join(F.broadcast(often), F.col("doc_id").eqNullSafe(F.col(kind)), "left")
-    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(count))
-    sized = sized.withColumn(part, F.when(F.col(count).isNull(), F.lit("")).otherwise(F.concat(hash_, F.lpad(place.cast("string"), 12, "0")))).drop(kind, count)
-    per = sized.groupBy(key).agg(F.count("*").alias(count)).select(key, F.greatest(F.lit(1), F.ceil(F.col(count) / bucket)).cast("bigint").alias(buckets))
-    # A source's buckets are equal ranges of the hash's first 32 bits.
-    first = F.conv(F.substring(hash_, 1, 8), 16, 10).cast("bigint")
-    dealt = sized.join(small_side(per), key).withColumn(kind, F.shiftright(first * F.col(buckets), 32)).drop(buckets)
-    sums = dealt.groupBy(key, kind, part).agg(F.sum(size).alias("b"))
-    starts = sums.select(key, kind, part, (F.sum("b").over(Window.partitionBy(key).orderBy(kind, part)) - F.col("b")).alias(before))
+    often = F.broadcast(cut(often.select(kind, F.ceil(F.col(count) / bucket).cast("bigint").alias(count))))
+    keyed = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))  # never null, so that joins and windows by it share a shuffle
+    sources = thin.groupBy(keyed.alias(key)).agg(F.count("*").alias(count))
+    sources = small_side(cut(sources.select(key, F.greatest(F.lit(1), F.ceil(F.col(count) / bucket)).cast("bigint").alias(of))))
+
+    def dealt(rows: DataFrame, length) -> DataFrame:
+        """rows with key, bucket and part; a source's buckets are equal ranges of the hash's first 32 bits."""
+        out = rows.withColumns({hash_: F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), size: F.coalesce(length, F.lit(0)).cast("bigint") + 1, key: keyed})
+        out = out.join(often, F.col("doc_id").eqNullSafe(F.col(kind)), "left")
+        place = F.pmod(F.xxhash64(row), F.col(count))
+        out = out.withColumn(part, F.when(F.col(count).isNull(), F.lit("")).otherwise(F.concat(hash_, F.lpad(place.cast("string"), 12, "0")))).drop(kind, count)
+        first = F.conv(F.substring(hash_, 1, 8), 16, 10).cast("bigint")
+        return out.join(sources, key).withColumn(kind, F.shiftright(first * F.col(of), 32)).drop(of)
+
+    sums = dealt(thin.withColumnRenamed("row", row), F.col("bytes")).groupBy(key, kind, part).agg(F.sum(size).alias("b"))
+    starts = cut(sums.select(key, kind, part, (F.sum("b").over(Window.partitionBy(key).orderBy(kind, part)) - F.col("b")).alias(before)))
     upto = Window.partitionBy(key, kind, part).orderBy(hash_, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.withColumn(inner, F.sum(size).over(upto) - F.col(size)).join(starts, [key, kind, part])
+    placed = dealt(docs.withColumn(row, F.monotonically_increasing_id()), F.octet_length("text")).withColumn(inner, F.sum(size).over(upto) - F.col(size))
+    placed = placed.join(starts, [key, kind, part])
     return placed.withColumn(block, F.expr(f"(`{before}` + `{inner}`) div {block_bytes}")).select(*docs.columns, hash_, block)
 
 
@@ -115,10 +128,11 @@ def _mixed(docs: DataFrame, weights: DataFrame | None, block_bytes: int, bucket:
     """docs with block, release, deadline, slot and the hash that orders the rows of a slot; the hash's name."""
     plain = docs.drop("block", "release", "deadline", "slot")
     hash_, block, name, place, share, period, release, deadline, time, whole, nth = unused(plain, "hash", "of", "name", "place", "share", "period", "released", "due", "time", "round", "nth")
-    plan = cut(timetable(weights if weights is not None else shares(plain, power)))
+    thin = _thin(plain)
+    plan = cut(timetable(weights if weights is not None else _shares(thin, power)))
     plan = plan.select(F.col("source").alias(name), F.col("nth").cast("bigint").alias(nth), F.col("share").alias(share), F.col("period").alias(period), F.col("release").alias(release), F.col("deadline").alias(deadline), F.col("time").alias(time))
     ratio = plan.where(F.col(nth) == 0).select(name, share)
-    met = _blocks(plain, block_bytes, bucket, hash_, block).join(small_side(ratio), F.col("source").eqNullSafe(F.col(name)), "left").drop(name)
+    met = _blocks(plain, thin, block_bytes, bucket, hash_, block).join(small_side(ratio), F.col("source").eqNullSafe(F.col(name)), "left").drop(name)
     met = met.withColumns({whole: F.expr(f"`{block}` div `{share}`"), place: F.expr(f"`{block}` % `{share}`")})
     # A row for each unit of the period.
     met = met.join(small_side(plan.drop(share)), F.col("source").eqNullSafe(F.col(name)) & (F.col(place) == F.col(nth)), "left")
@@ -137,7 +151,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BL
     many documents have after the others of their bucket (see `_blocks`). No row is dropped
     or repeated: a source that runs out leaves its slots empty. Null texts weigh as empty
     ones; null ids and a null source are values like others. Columns of docs named like
-    the new ones are replaced, all others pass. Any number of sources: their rows are
+    the new ones are replaced, all others pass. docs are read twice and should be a table,
+    or cut, if very many documents share an id: those are dealt by their places. Any number of sources: their rows are
     broadcast up to a counted size, and joined by a shuffle beyond it.
     """
     out, hash_ = _mixed(docs, weights, block_bytes, bucket, power)

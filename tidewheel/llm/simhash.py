@@ -10,9 +10,10 @@ tree over the distance on those bits alone, in which every pair sought is at dis
 in at least one tree. A level of a tree has a vantage point and a branch for each distance
 from it; by the triangle bound a partner at distance 0 is in the same branch at each
 level, so no query overlaps a boundary and the branches can be shards of a join. Within a
-shard, distances from one more vantage point on all 64 bits order the members, and only
-members within the radius of one another on that scale (the overlapping boundaries) are
-compared, exactly.
+shard a tree on all bits goes on: each level's vantage point parts the members by distance,
+a branch is carried on against all branches whose distances lie within the radius of its
+own (those whose boundaries its balls overlap), all others are pruned by the triangle
+bound, and members of small pairs of branches are compared exactly.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SEED = 42
 AIM = 2048
 #: Shards of up to so many members are compared many shards at a time.
 SMALL = 48
+#: Pairs of a leaf of the tree within a shard, at most, and its levels.
+LEAF, LEVELS = 1 << 15, 4
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -89,21 +92,24 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) if x.shape[-1] > 1 else np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int64)
 
 
-def _pairs(fp: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (from a, from b) of fingerprints within the radius."""
+def _pairs(fp: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, level: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (from a, from b) of fingerprints within the radius, by a vantage-point tree that both descend together."""
     if not len(a) or not len(b):
         return []
-    pivot = fp[a[0]]
+    out = []
+    if len(a) * len(b) <= LEAF or level == LEVELS:
+        for at in range(0, len(a), 256):
+            i, j = np.nonzero(_apart(fp[a[at : at + 256], None], fp[b][None, :]) <= radius)
+            out.append((a[at + i], b[j]))
+        return out
+    pivot = fp[a[level * 7919 % len(a)]]
     da, db = _apart(fp[a], pivot), _apart(fp[b], pivot)
     a, b = a[np.argsort(da, kind="stable")], b[np.argsort(db, kind="stable")]
     da, db = np.sort(da), np.sort(db)
-    out = []
     for d in np.unique(da):  # a branch, and the branches that its boundary overlaps
         x = a[np.searchsorted(da, d) : np.searchsorted(da, d, "right")]
         y = b[np.searchsorted(db, d - radius) : np.searchsorted(db, d + radius, "right")]
-        for at in range(0, len(x) if len(y) else 0, 256):
-            i, j = np.nonzero(_apart(fp[x[at : at + 256], None], fp[y][None, :]) <= radius)
-            out.append((x[at + i], y[j]))
+        out += _pairs(fp, x, y, radius, level + 1)
     return out
 
 
@@ -167,18 +173,31 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a text of fewer
     words than a shingle is one shingle; null, empty and blank texts have fingerprint 0 and
     link like any other. component_id is the least doc_id that links of at most `radius`
-    bits reach. Repeated rows each return; a null doc_id returns with the component of its
-    fingerprint (null if only null ids have it and it links to nothing). No rows: no rows.
-    Further columns of docs are ignored.
+    bits reach. Repeated rows each return; rows that share an id but not the fingerprint
+    are nodes of their own. A null doc_id returns with the component of its fingerprint
+    (null if only null ids have it) and links nothing. No rows: no rows. Further columns of
+    docs are ignored.
 
     Equal fingerprints are one node (aggregated before the shuffle), so groups of copies of
     any size cost one member of a shard; shards of many fingerprints are split by `deal`.
     Only a count of the fingerprints reaches the driver.
     """
     fps = cut(fingerprints(docs, shingle))
-    nodes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    out = _classed(fps, nodes, [(0, mask) for mask in layout(nodes.count(), radius)], radius)
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")))
+    trees = [(0, mask) for mask in layout(nodes.count(), radius)]
+    members = nodes.select("fp", "node").mapInArrow(lambda it: _members(it, trees), _MEMBERS + "bigint")
+    edges = deal(members, "fp").select("shard", "lo", "hi", "chunk", "fp", "node").mapInArrow(lambda it: _compare(it, radius), "a bigint, b bigint")
+    out = fps.join(_classes(nodes, edges).select("fp", "least"), "fp", "left")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (node, least, ...) with the least `least` of their components, of edges (a, b) between nodes, as `least`."""
+    found = components(edges)
+    met = found.join(nodes.select("node", "least"), "node")
+    roots = cut(met.groupBy("component").agg(F.min("least").alias("_least")))
+    known = cut(found.join(roots, "component").select("node", "_least"))
+    return nodes.join(known, "node", "left").withColumn("least", F.coalesce("_least", "least")).drop("_least")
 
 
 _MEMBERS = "shard bigint, node bigint, fp "
@@ -214,15 +233,6 @@ def _members(batches: Iterator[pa.RecordBatch], trees: list[tuple[int, int]]) ->
             yield pa.RecordBatch.from_arrays([pa.array(shards.ravel().view(np.int64)), batch.column(1).take(each), batch.column(0).take(each)], names=["shard", "node", "fp"])
 
 
-def _classed(fps: DataFrame, nodes: DataFrame, trees: list[tuple[int, int]], radius: int) -> DataFrame:
-    """fps (doc_id, fp) with component_id; nodes: (fp, node) of the distinct fingerprints."""
-    members = nodes.select("fp", "node").mapInArrow(lambda it: _members(it, trees), _MEMBERS + nodes.schema["fp"].dataType.simpleString())
-    edges = deal(members, "fp").select("shard", "lo", "hi", "chunk", "fp", "node").mapInArrow(lambda it: _compare(it, radius), "a bigint, b bigint")
-    found = components(edges)
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
-
-
 def shingles(text: str | None, shingle: int) -> np.ndarray:
     """The set of a text's word shingles, by hashes, ascending; empty for a text without words."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
@@ -373,7 +383,7 @@ def _verified(batches: Iterator[pa.RecordBatch], trees: list[tuple[int, int]], r
 
 
 def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 6, least_block: int = 12) -> DataFrame:
-    """(doc_id, component_id) of near-duplicates: texts link whose sets of word shingles have at least that Jaccard similarity.
+    """(doc_id, k, component_id, kept) of near-duplicates: texts link whose sets of word shingles have at least that Jaccard similarity.
 
     Candidates come from wide fingerprints of the sets, links from the whole sets. Sets of
     that similarity differ by an angle, and so in a share p of the bits of a fingerprint:
@@ -389,17 +399,21 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: i
     tie it already. Pairs are never rows. Hashes of 64 bits stand for shingles and for
     whole sets.
 
-    The cases of null, empty and repeated texts and ids are those of `near_duplicates`.
+    Each row returns: k is the hash of its id and text (`row_key`), component_id the least
+    doc_id of its group (null if no row of it has an id), kept whether the row is the one
+    that stands for its group: that of the least id (rows without one come last), of
+    several with that id the one of the least k; rows alike in id and text are all or none
+    of them kept. Texts without a word have equal, empty sets. No rows: no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py(), shingle) for x in batch.column(1)]
+            sets = [shingles(x.as_py(), shingle) for x in batch.column(2)]
             found = [wide_fingerprint(x, words) for x in sets]
             flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
             offsets = pa.array(np.arange(0, len(flat) + 1, words), pa.int32())
             key = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))], names=["doc_id", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(key), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))], names=["doc_id", "k", "node", "fp"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -407,9 +421,10 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: i
             key = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sets, pa.binary())], names=["node", "z"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    fps = cut(texts.mapInArrow(run, "doc_id bigint, node bigint, fp array<bigint>"))
-    nodes = cut(fps.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("k"), F.col("text").cast("string").alias("text"))
+    fps = cut(texts.mapInArrow(run, "doc_id bigint, k bigint, node bigint, fp array<bigint>"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    nodes = cut(fps.groupBy("node").agg(F.min(first).alias("least"), F.first("fp").alias("fp")))
     bits = words * BITS
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = int(bits * share + 5 * math.sqrt(bits * share * (1 - share)))
@@ -418,12 +433,14 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: i
     kind = "shard bigint, lo int, hi int, chunk int, node bigint, fp array<bigint>"
     members = nodes.select("fp", "node").mapInArrow(lambda it: _numbered(it, trees), _MEMBERS + "array<bigint>")
     met = cut(deal(members, "fp").select("shard", "lo", "hi", "chunk", "node", "fp").mapInArrow(lambda it: _met(it, trees, radius), kind))
-    wanted = met.select("node").distinct().join(nodes.select("node", "least"), "node").select(F.col("least").alias("doc_id")).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("text").mapInArrow(whole, "node bigint, z binary").dropDuplicates(["node"])
+    wanted = met.select("node").distinct().join(nodes.select("node", "least.k"), "node").select("k").distinct()
+    sets = texts.join(wanted, "k", "left_semi").dropDuplicates(["k"]).select("text").mapInArrow(whole, "node bigint, z binary").dropDuplicates(["node"])
     dealt = met.join(sets, "node").repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi")
     ties = dealt.select("shard", "lo", "hi", "chunk", "node", "fp", "z").mapInArrow(lambda it: _verified(it, trees, radius, similarity), "a bigint, b bigint")
-    least = nodes.select("node", "least")
-    named = ties.distinct().join(least.toDF("a", "_a"), "a").join(least.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    found = components(named)
-    classes = least.join(found.withColumnRenamed("node", "least"), "least", "left").select("node", F.coalesce("component", "least").alias("component_id"))
-    return fps.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "component_id")
+    classes = _classes(nodes.select("node", "least"), ties).select("node", F.col("least.doc_id").alias("component_id"), F.col("least.k").alias("stands"))
+    return fps.select("doc_id", "k", "node").join(classes, "node", "left").select("doc_id", "k", "component_id", (F.col("k") == F.col("stands")).alias("kept"))
+
+
+def row_key():
+    """The hash of a row's id and text by which `similar` names rows."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
