@@ -29,11 +29,13 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id, once; documents without an id stay."""
+    """Of each group of near-duplicates the document with the smallest id (those without one come last), once.
+
+    Documents that share an id are told apart by their texts: unlike ones both stay.
+    """
     docs = docs.select(*DOCUMENT)
-    stays = simhash.similar(docs.select("doc_id", "text"), similarity=0.8, shingle=5).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*DOCUMENT).unionByName(docs.where("doc_id is null"))
+    stays = simhash.similar(docs.select("doc_id", "text"), similarity=0.8, shingle=5).where("kept").select(F.col("k").alias("_k")).distinct()
+    return docs.withColumn("_k", simhash.row_key()).join(stays, "_k", "left_semi").dropDuplicates(["_k"]).select(*DOCUMENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
