@@ -5,9 +5,11 @@ import random
 
 import pytest
 
+from tidewheel.jobs import config as C
+from tidewheel.jobs import main as jobs
 from tidewheel.operators import replay
 from tidewheel.plans import recovery
-from tidewheel.sources import files
+from tidewheel.sources import files, kafka
 
 D = "pos bigint, key string, seq bigint, delta bigint, deltaQty bigint"
 S = "key string, SumAmount bigint, SumQty bigint, LastSeq bigint"
@@ -61,6 +63,7 @@ def write(path, lines):
     return str(path)
 
 
+#: Records with a duplicate and a gap, as (seq, delta, deltaQty).
 LINES = [json.dumps({"key": "K#1", "seq": s, "delta": d, "deltaQty": q, "ts": t}) for t, (s, d, q) in enumerate([(1, 10, 1), (1, 999, 9), (3, 5, 1), (2, 100, 10)], 1)]
 
 
@@ -93,8 +96,9 @@ def test_missing_snapshot(spark, tmp_path):
 
 def test_snapshot_and_manifest_roundtrip(spark, tmp_path):
     rows = [(f"k{i}", i, i, i) for i in range(5)]
-    files.write_snapshot(spark, spark.createDataFrame(rows, S), str(tmp_path), "x")
+    files.write_snapshot(spark, spark.createDataFrame(rows, S), str(tmp_path), "x", interchange=True)
     assert states(files.read_snapshot(spark, str(tmp_path), "x")) == {k: tuple(v) for k, *v in rows}
+    assert states(files.read_interchange(spark, f"{tmp_path}/x/state.json")) == {k: tuple(v) for k, *v in rows}
     assert list(json.loads((tmp_path / "x/state.json").read_text())) == [f"k{i}" for i in range(5)]
     files.write_manifest(spark, str(tmp_path), "sid-123", 42, 7)
     assert files.read_manifest(spark, str(tmp_path)) == {"snapshotId": "sid-123", "lastChangelogOffset": 42, "createdAt": 7}
@@ -118,6 +122,60 @@ def test_changelog_append_keeps_order_within_files(spark, tmp_path):
     assert [r.seq for r in got] == list(range(300)) and [r.pos for r in got] == list(range(1, 301))
 
 
+def test_five_appends_keep_their_places(spark, tmp_path):
+    path = str(tmp_path / "c")
+    for k in range(5):
+        rows = [("K", s, 1, 1, s) for s in range(10 * k + 1, 10 * k + 11)]
+        files.append_changelog(spark.createDataFrame(rows, "key string, seq bigint, delta bigint, deltaQty bigint, ts bigint").repartition(3), path)
+    for _ in range(2):
+        log = files.read_changelog(spark, path)
+        assert [(r.pos, r.seq) for r in log.orderBy("pos").collect()] == [(i, i) for i in range(1, 51)]
+        assert states(replay.state(log)) == {"K": (50, 50, 50)} and log.agg({"bytes": "sum"}).first()[0] == sum(len(x) - 1 for f in (tmp_path / "c").glob("*/part-*") for x in f.open())
+    files.append_changelog(log.where("pos > 40").drop("pos", "bytes"), path, epoch=4)  # again, as a repeated batch
+    assert states(replay.state(files.read_changelog(spark, path))) == {"K": (50, 50, 50)}
+
+
+def test_files_without_an_order_are_refused(spark, tmp_path):
+    for k in range(2):
+        spark.range(3).selectExpr("'K' as key", "id + 1 as seq", "id as delta").coalesce(1).write.mode("append").json(str(tmp_path / "c"))
+    with pytest.raises(files.MalformedRecord):
+        files.read_changelog(spark, str(tmp_path / "c"))
+
+
+def test_topics_stand_in_for_files(spark, tmp_path):
+    topics = {}
+
+    def keep(name):
+        def write(df):
+            topics.setdefault(name, []).extend(map(tuple, df.collect()))
+        return write
+
+    deltas = spark.createDataFrame([("K", 1, 10, 1, 5), ("K", 1, 99, 9, 6), ("L", 2, 7, None, 7)], "key string, seq bigint, delta bigint, deltaQty bigint, ts bigint").coalesce(1)
+    keep("changelog")(kafka.changelog_records(deltas))
+    for k in (1, 2):
+        files.advance(spark, spark.createDataFrame([], S), str(tmp_path), "sid", 0, k, [kafka.manifest_publisher(spark, keep("snapshots")), files.manifest_publisher(spark, str(tmp_path))])
+    frame = lambda name: spark.createDataFrame([(0, i, k, v) for i, (k, v) in enumerate(topics[name])], "partition int, offset bigint, key string, value string")
+    assert kafka.read_manifest(frame("snapshots")) == files.read_manifest(spark, str(tmp_path)) == {"snapshotId": "sid", "lastChangelogOffset": 0, "createdAt": 2}
+    config = C.Recover(snapshot_dir=str(tmp_path), manifest_source="kafka", changelog_source="kafka", topic_snapshots="snapshots", topic_changelog="changelog", rounds=1)
+    registry = jobs.recover(spark, config, frame)
+    assert registry.get("opb_replay_applied_total") == 2 and registry.get("opb_replay_skipped_total") == 1 and registry.get("opb_changelog_lag") == 0
+    assert registry.get("opb_replay_bytes_total") == sum(len(v) for _, v in topics["changelog"])
+    with pytest.raises(LookupError):
+        kafka.read_manifest(frame("changelog"))
+    topics["snapshots"].append((kafka.MANIFEST_KEY, "{bad"))
+    with pytest.raises(ValueError):
+        kafka.read_manifest(frame("snapshots"))
+
+
+def test_failing_publisher_stops_the_rest(spark, tmp_path):
+    def fail(*_):
+        raise OSError("no")
+
+    with pytest.raises(OSError):
+        files.advance(spark, spark.createDataFrame([], S), str(tmp_path), "sid", 0, 1, [fail, files.manifest_publisher(spark, str(tmp_path))])
+    assert not files.exists(spark, f"{tmp_path}/{files.MANIFEST_FILE}")
+
+
 def test_legacy_lines_without_quantity(spark, tmp_path):
     lines = ['{"key":"a","seq":1,"delta":10000,"ts":1}', '{"key":"a","seq":1,"delta":10000,"deltaQty":1,"ts":2}']
     assert states(replay.state(files.read_changelog(spark, write(tmp_path / "c", lines)))) == {"a": (10000, 0, 1)}

@@ -7,9 +7,12 @@ from dataclasses import dataclass, fields
 from typing import TypeVar
 
 
+# Names of flags and their defaults.
+
+
 @dataclass(frozen=True)
 class Aggregate:
-    """Windowed sums from enriched orders. Sinks and sources are independent of one another and checked at the start."""
+    """Windowed sums from enriched orders, one output for each record, with changelog, snapshots and manifest. Sinks and sources are independent of one another and checked at the start."""
 
     group_id: str = "opb"
     instance_id: str = ""
@@ -25,9 +28,9 @@ class Aggregate:
     kafka_bootstrap: str = ""
     topic_prefix: str = "p2"
     topic_enriched: str = "p1.orders.enriched"
-    topic_changelog: str = "p2.opb-changelog"
-    topic_snapshots: str = "p2.opb-snapshots"
-    output_topic: str = "p2.orders.output"
+    topic_changelog: str = ""
+    topic_snapshots: str = ""
+    output_topic: str = ""
     output_path: str = "output"
     input_source: str = "sample"
     input_path: str = ""
@@ -37,6 +40,11 @@ class Aggregate:
     tx_batch_size: int = 1000
     tx_linger_ms: int = 100
 
+    def topic(self, name: str) -> str:
+        """A topic of its own flag, or else of the prefix."""
+        own, rest = {"changelog": (self.topic_changelog, "opb-changelog"), "snapshots": (self.topic_snapshots, "opb-snapshots"), "output": (self.output_topic, "orders.output")}[name]
+        return own or f"{self.topic_prefix}.{rest}"
+
 
 @dataclass(frozen=True)
 class Enrich:
@@ -57,8 +65,16 @@ class Enrich:
 class Recover:
     """Periodic recovery with metrics, and the manifest moved on with a new snapshot."""
 
+    kafka_bootstrap: str = ""
+    group_id: str = "recover"
+    instance_id: str = "R"
+    manifest_source: str = "file"
+    changelog_source: str = "file"
+    topic_snapshots: str = "p2.opb-snapshots"
+    topic_changelog: str = "p2.opb-changelog"
     snapshot_dir: str = "snapshots"
     changelog_path: str = "changelog"
+    http: str = ""
     poll: int = 10
     rounds: int = 0
     advance_manifest: bool = False
@@ -67,16 +83,18 @@ class Recover:
 
 @dataclass(frozen=True)
 class Generate:
-    """Random enriched orders as JSON lines."""
+    """Random enriched orders as JSON lines: count of them, or with a rate so many a second for some seconds."""
 
     count: int = 100
     output: str = "orders"
     seed: int = 42
+    rate: int = 0
+    seconds: int = 60
 
 
 C = TypeVar("C", Aggregate, Enrich, Recover, Generate)
 CHOICES = {
-    "changelog_sink": ("file", "kafka", "both"), "manifest_sink": ("file", "kafka", "both"), "state_backend": ("rocksdb", "memory"),
+    "changelog_source": ("file", "kafka"), "manifest_source": ("file", "kafka"), "changelog_sink": ("file", "kafka", "both"), "manifest_sink": ("file", "kafka", "both"), "state_backend": ("rocksdb", "memory"),
     "input_source": ("sample", "file", "kafka"), "mode": ("normalize", "wrapper"),
 }
 

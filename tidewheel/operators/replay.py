@@ -44,6 +44,14 @@ def counts(flagged: DataFrame) -> DataFrame:
     return flagged.agg(n(F.col("applied")).alias("applied"), n(~F.col("applied")).alias("skipped"), F.coalesce(F.max(POSITION), F.lit(-1)).cast("bigint").alias("lastOffset"))
 
 
+def summary(flagged: DataFrame) -> DataFrame:
+    """One row: what `counts` tells, and bytes of all values read (column bytes), in one pass."""
+    return flagged.agg(
+        F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("skipped"),
+        F.coalesce(F.max(POSITION), F.lit(-1)).cast("bigint").alias("lastOffset"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes"),
+    )
+
+
 def value_bytes(records: DataFrame, value: str = "value") -> DataFrame:
     """One row: bytes of all values, of applied and skipped records."""
     return records.agg(F.coalesce(F.sum(F.octet_length(value)), F.lit(0)).cast("bigint").alias("bytes"))

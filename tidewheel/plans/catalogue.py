@@ -15,7 +15,7 @@ from tidewheel.functions.keys import amount, output_key, window_start
 from tidewheel.operators import aggregate as A
 from tidewheel.operators import compaction, lag, replay
 from tidewheel.operators import orders as O
-from tidewheel.plans import scratch
+from tidewheel.plans import recovery, scratch
 from tidewheel.schemas import ENRICHED
 from tidewheel.sources import files, generators, kafka
 from tidewheel.streaming import jobs as J
@@ -82,8 +82,8 @@ def changelog_deltas(spark, sf_dir):
 
 
 def compact_latest_output(spark, sf_dir):
-    out = A.running(_enriched(spark, sf_dir), "off", DAY).select("key", "off", "seq", "sumAmount", "sumQty")
-    return compaction.latest(out, ["key"], "off")
+    out = A.running(_enriched(spark, sf_dir), "off", DAY).select(*A.GROUP, "key", "off", "seq", "sumAmount", "sumQty")
+    return compaction.latest(out, A.GROUP, "off").select("key", "off", "seq", "sumAmount", "sumQty")  # by the columns that the sums are dealt by: no second shuffle
 
 
 def replay_flags(spark, sf_dir):
@@ -150,12 +150,55 @@ def passthrough(spark, sf_dir):
 
 
 def snapshot_dump(spark, sf_dir):
-    """Written as a snapshot and read back from its interchange file."""
+    """Written as a snapshot and read back."""
     base = scratch.folder(spark)
     files.write_snapshot(spark, replay_state(spark, sf_dir), base, "20250101T000000Z")
     return files.read_snapshot(spark, base, "20250101T000000Z")
 
 
+def snapshot_interchange(spark, sf_dir):
+    """Written as a snapshot and read back from its interchange file."""
+    base = scratch.folder(spark)
+    files.write_snapshot(spark, replay_state(spark, sf_dir), base, "20250101T000000Z", interchange=True)
+    return files.read_interchange(spark, f"{base}/20250101T000000Z/state.json")
+
+
+def changelog_scan(spark, sf_dir):
+    """A log of three appends, read back with its places."""
+    base, log = scratch.folder(spark), _changelog(spark, sf_dir).withColumn("ts", F.lit(1).cast("bigint"))
+    for part in ("pos <= 100", "pos > 100 and pos <= 5000", "pos > 5000"):
+        files.append_changelog(log.where(part), f"{base}/changelog", order=("pos",))
+    return files.read_changelog(spark, f"{base}/changelog").select("pos", "key", "seq", "delta", "deltaQty")
+
+
+def recovery_counts(spark, sf_dir):
+    """Manifest, snapshot of the first 400 changes and a changelog on files: what the recovery of all counts."""
+    base, log = scratch.folder(spark), _changelog(spark, sf_dir).withColumn("ts", F.lit(1).cast("bigint"))
+    files.append_changelog(log, f"{base}/changelog", order=("pos",))
+    files.advance(spark, replay.state(log.where("pos <= 400")), base, "20250101T000000Z", 400, 1)
+    found = recovery.restore_and_replay(spark, base, f"{base}/changelog")
+    return found.state.agg(F.lit(found.applied).cast("bigint").alias("applied"), F.lit(found.skipped).cast("bigint").alias("skipped"), F.lit(found.next_offset).cast("bigint").alias("nextOffset"), F.sum("SumAmount").cast("bigint").alias("sumAmount"), F.count("*").alias("keys"))
+
+
+def kafka_replay_state(spark, sf_dir):
+    """The state from changelog records as a topic of six partitions has them."""
+    log = _changelog(spark, sf_dir).withColumn("ts", F.lit(1).cast("bigint"))
+    records = log.select(F.pmod(F.xxhash64("key"), F.lit(6)).cast("int").alias("partition"), (F.col("pos") - 1).alias("offset"), encode(["key", "seq", "delta", "deltaQty", "ts"]).alias("value"))
+    return replay.state(kafka.placed_changelog(records).where("not _bad"))
+
+
+def aggregator_job(spark, sf_dir):
+    """The service over files: orders in, outputs, changelog, snapshot and manifest out; the state that its own files recover to."""
+    from tidewheel.jobs import config, main
+
+    base = scratch.folder(spark)
+    rows = _enriched(spark, sf_dir)
+    rows.select(encode([c for c in rows.columns if c != "off"]).alias("value")).write.text(f"{base}/in")
+    paths = {"input_path": f"{base}/in", "output_path": f"{base}/out", "changelog_path": f"{base}/changelog", "snapshot_dir": f"{base}/snapshots", "state_dir": f"{base}/checkpoint"}
+    main.aggregate(spark, config.Aggregate(instance_id=base[-12:], input_source="file", once=True, window_size=DAY, **paths))
+    return recovery.restore_and_replay(spark, f"{base}/snapshots", f"{base}/changelog").state
+
+
 def manifest_latest(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     record = F.to_json(F.struct(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("snapshotId"), (F.col("event_id") * 2).alias("lastChangelogOffset"), F.col("user_id").alias("createdAt")))
@@ -190,7 +233,7 @@ def stateful_running_output(spark, sf_dir):
         source.where(part).coalesce(1).write.parquet(f"{base}/in/{k}")
     stream = spark.readStream.schema(f"off bigint, {ENRICHED}").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
     J.start(J.running_outputs(stream, DAY), sinks.epochs(f"{base}/out"), f"{base}/checkpoint", f"running-{base[-12:]}").awaitTermination()
-    return sinks.read_epochs(spark, f"{base}/out").drop("epoch")
+    return sinks.read_epochs(spark, f"{base}/out").drop("epoch", *A.GROUP)
 
 
 def enrich_stream(spark, sf_dir):
@@ -217,7 +260,8 @@ QUERIES = {
     "running_output": _running(300), "running_output_day": _running(DAY), "changelog_deltas": changelog_deltas, "compact_latest_output": compact_latest_output,
     "replay_flags": replay_flags, "replay_counts": replay_counts, "replay_state": replay_state, "replay_from_offset": replay_from_offset, "restore_replay_state": restore_replay_state,
     "state_get": state_get, "decode_orders": decode_orders, "encode_output": encode_output, "replay_bytes": replay_bytes, "batch_offsets": batch_offsets, "partition_lag": partition_lag,
-    "validated_only": validated_only, "lineitem_agg_final": lineitem_agg_final, "passthrough": passthrough, "snapshot_dump": snapshot_dump, "manifest_latest": manifest_latest,
+    "validated_only": validated_only, "lineitem_agg_final": lineitem_agg_final, "passthrough": passthrough, "snapshot_dump": snapshot_dump, "snapshot_interchange": snapshot_interchange, "changelog_scan": changelog_scan,
+    "recovery_counts": recovery_counts, "kafka_replay_state": kafka_replay_state, "aggregator_job": aggregator_job, "manifest_latest": manifest_latest,
     "stream_window_agg": stream_window_agg, "stateful_running_output": stateful_running_output, "enrich_stream": enrich_stream, "sample_orders": sample_orders, "gen_orders": gen_orders,
 }
 
@@ -293,6 +337,12 @@ SQL = {
     "lineitem_agg_final": "select l_suppkey, l_partkey, cast(sum(cast(round(l_extendedprice * 100) as bigint)) as bigint) as sumAmount, cast(sum(cast(l_quantity as bigint)) as bigint) as sumQty, count(*) as lastSeq from lineitem group by all",
     "passthrough": f"select key, '{{\"orderId\":\"' || orderId || '\",\"price\":' || price || ',\"qty\":' || qty || '}}' as value from {_keyed_sql(300)} k",
     "snapshot_dump": _state_sql(),
+    "snapshot_interchange": _state_sql(),
+    "changelog_scan": f"select pos, key, seq, delta, deltaQty from {_CL} c",
+    "kafka_replay_state": _state_sql(),
+    "recovery_counts": f"""select (select count(*) from {_flag_sql()} f where applied and pos > 400) as applied, (select count(*) from {_flag_sql()} f where not applied and pos > 400) as skipped,
+      (select max(pos) from {_CL} c) as nextOffset, cast(sum(SumAmount) as bigint) as sumAmount, count(*) as keys from ({_state_sql()}) s""",
+    "aggregator_job": f"select key, sumAmount as SumAmount, sumQty as SumQty, lastSeq as LastSeq from ({_final_sql(DAY)}) f",
     "manifest_latest": "select 's' || event_id as snapshotId, event_id * 2 as lastChangelogOffset, user_id as createdAt from events where event_id % 7 <> 0 order by event_id desc limit 1",
     "stream_window_agg": _final_sql(DAY),
     "stateful_running_output": f"select off, key, seq, delta, deltaQty, sumAmount, sumQty from {_run_sql(DAY)} r",

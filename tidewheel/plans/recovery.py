@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.functions.codec import encode
+from tidewheel.functions.keys import snapshot_id
 from tidewheel.operators import replay
 from tidewheel.sources import files
 
@@ -26,26 +27,30 @@ class Result:
     manifest: dict
 
 
-def restore_and_replay(spark: SparkSession, base: str, changelog: str, manifest: dict | None = None) -> Result:
+def restore_and_replay(spark: SparkSession, base: str, changelog: str | DataFrame, manifest: dict | None = None) -> Result:
     """The state after the manifest's snapshot and the changelog beyond its offset.
 
-    Only counts reach the driver. A malformed line raises before anything is applied.
+    `changelog` is a path, or the records of a topic as `kafka.placed_changelog` gives
+    them. One pass over the log finds malformed records, which raise before anything is
+    applied, and the counts, which are all that reaches the driver; the state is a plan.
     """
     began = time.time()
     manifest = manifest or files.read_manifest(spark, base)
     offset = int(manifest["lastChangelogOffset"])
     snapshot = files.read_snapshot(spark, base, manifest["snapshotId"], offset)
-    log = files.read_changelog(spark, changelog)
-    flagged = replay.flags(log, snapshot, offset)
-    counted = replay.counts(flagged).first()
-    size = replay.value_bytes(flagged.select(encode(["key", "seq", "delta", "deltaQty", "ts"]).alias("value"))).first().bytes
-    state = replay.state(log, snapshot, offset)
-    return Result(state, counted.applied, counted.skipped, size, max(offset, counted.lastOffset), time.time() - began, manifest)
+    placed = files.placed_changelog(spark, changelog) if isinstance(changelog, str) else changelog
+    flagged = replay.flags(placed, snapshot, offset)
+    bad = placed.where("_bad").agg(F.min("pos").alias("malformed"))
+    counted = replay.summary(flagged.where(~F.col("_bad"))).join(bad).first()  # a row each
+    if counted.malformed is not None:
+        raise files.MalformedRecord(f"record {counted.malformed} of the changelog is malformed")
+    state = replay.state(placed.where(~F.col("_bad")).drop("_bad", "bytes"), snapshot, offset)
+    return Result(state, counted.applied, counted.skipped, counted.bytes, max(offset, counted.lastOffset), time.time() - began, manifest)
 
 
-def snapshot_and_advance(spark: SparkSession, result: Result, base: str, now: int | None = None) -> str:
+def snapshot_and_advance(spark: SparkSession, result: Result, base: str, now: int | None = None, publish: Iterable[Callable[[str, int, int], None]] | None = None) -> str:
     """Writes the recovered state as a new snapshot, and then the manifest with its offset; the snapshot's name."""
     at = int(now if now is not None else time.time())
-    name = spark.range(1).select(F.date_format(F.to_utc_timestamp(F.timestamp_seconds(F.lit(at)), F.current_timezone()), "yyyyMMdd'T'HHmmss'Z'").alias("n")).first().n
-    files.advance(spark, result.state, base, name, result.next_offset, at)
+    name = spark.range(1).select(snapshot_id(F.lit(at)).alias("n")).first().n
+    files.advance(spark, result.state, base, name, result.next_offset, at, publish)
     return name

@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewheel.functions.codec import decode, encode, parsed
 from tidewheel.operators.compaction import latest
-from tidewheel.functions.codec import decode
-from tidewheel.schemas import MANIFEST, MANIFEST_KEY
+from tidewheel.schemas import DELTA, MANIFEST, MANIFEST_KEY
+
+Write = Callable[[DataFrame], None]
 
 
 def brokers(text: str) -> list[str]:
@@ -49,16 +51,55 @@ def read_batch(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     return spark.read.format("kafka").options(**{k: v for k, v in options.items() if k != "maxOffsetsPerTrigger"}).option("endingOffsets", "latest").load()
 
 
-def to_records(df: DataFrame, key: str, value) -> DataFrame:
-    """(key, value) as the sink takes them."""
-    return df.select(F.col(key).cast("string").alias("key"), value.alias("value"))
-
-
-def writer(options: dict[str, str]) -> Callable[[DataFrame], None]:
+def writer(options: dict[str, str]) -> Write:
     return lambda df: df.write.format("kafka").options(**options).save()
 
 
 def manifest_latest(records: DataFrame, position: str = "offset") -> DataFrame:
-    """The manifest of the last record with its key, over all partitions; no row without one."""
+    """The manifest of the last record with its key, over all partitions; no row without one, or where it is malformed."""
+    return decode(_last_manifest(records, position).select("value"), MANIFEST)
+
+
+def _last_manifest(records: DataFrame, position: str) -> DataFrame:
     mine = records.where(F.col("key").cast("string") == MANIFEST_KEY).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), position)
-    return decode(latest(mine, ["key"], position).select("value"), MANIFEST)
+    return latest(mine, ["key"], position)
+
+
+def read_manifest(records: DataFrame, position: str = "offset") -> dict:
+    """The manifest of the last record with its key; raises without one, and on a malformed one."""
+    row = parsed(_last_manifest(records, position), MANIFEST).select("_bad", "_record").first()
+    if row is None:
+        raise LookupError("the topic has no manifest")
+    if row._bad:
+        raise ValueError("the last manifest of the topic is malformed")
+    return row._record.asDict()
+
+
+def manifest_publisher(spark: SparkSession, write: Write) -> Callable[[str, int, int], None]:
+    """Publishes a manifest as a record with the constant key, of which a compacted topic keeps the last."""
+
+    def publish(snapshot_id: str, offset: int, now: int) -> None:
+        row = spark.createDataFrame([(snapshot_id, offset, now)], MANIFEST)
+        write(row.select(F.lit(MANIFEST_KEY).alias("key"), encode(row.columns).alias("value")))
+
+    return publish
+
+
+def changelog_records(deltas: DataFrame) -> DataFrame:
+    """(key, value) of changelog records: a key's records go to one partition, in order."""
+    return deltas.select("key", encode(["key", "seq", "delta", "deltaQty", "ts"]).alias("value"))
+
+
+def placed_changelog(records: DataFrame) -> DataFrame:
+    """(pos, bytes, _bad, key, seq, delta, deltaQty, ts) of a topic's records (partition, offset, value).
+
+    pos is the offset counted from 1. A key's records are in one partition, so within a
+    key they are in order; the gate needs no more.
+    """
+    read = parsed(records.select((F.col("offset") + 1).alias("pos"), F.col("value").cast("string").alias("value"), F.octet_length("value").cast("bigint").alias("bytes")), DELTA)
+    return read.select("pos", "bytes", "_bad", "_record.*")
+
+
+def heads(records: DataFrame) -> DataFrame:
+    """(partition, head): the last offset of each partition that has records."""
+    return records.groupBy("partition").agg(F.max("offset").alias("head"))

@@ -57,8 +57,11 @@ class Running(StatefulProcessor):
         parts = list(rows)
         met = pd.concat(parts).sort_values("off", kind="stable")  # a batch's rows of a key have no order of their own
         total, count, seq = self.state.get() if self.state.exists() else (0, 0, 0)
+        product = met["price"].astype("float64") * met["qty"].astype("float64")
+        if abs(int(total)) + float(product.abs().sum()) >= _RANGE or abs(int(count)) + float(met["qty"].abs().astype("float64").sum()) >= _RANGE:
+            raise OverflowError(f"the sums of {key[0]} leave the range of long")  # numpy would wrap without a word
         delta = met["price"].astype("int64") * met["qty"].astype("int64")
-        out = pd.DataFrame({"off": met["off"].astype("int64"), "key": key[0], "seq": range(int(seq) + 1, int(seq) + len(met) + 1), "delta": delta, "deltaQty": met["qty"].astype("int64")})
+        out = pd.DataFrame({"off": met["off"].astype("int64"), "key": key[0], "storeId": met["storeId"], "productId": met["productId"], "windowStart": met["windowStart"].astype("int64"), "seq": range(int(seq) + 1, int(seq) + len(met) + 1), "delta": delta, "deltaQty": met["qty"].astype("int64")})
         out["sumAmount"], out["sumQty"] = delta.cumsum() + int(total), out["deltaQty"].cumsum() + int(count)
         self.state.update((int(out["sumAmount"].iloc[-1]), int(out["sumQty"].iloc[-1]), int(seq) + len(met)))
         yield out
@@ -67,12 +70,14 @@ class Running(StatefulProcessor):
         pass
 
 
-RUNNING = "off bigint, key string, seq bigint, delta bigint, deltaQty bigint, sumAmount bigint, sumQty bigint"
+#: A little below the highest long, as sums of floats tell whether it is left.
+_RANGE = 2.0**63 * (1 - 1e-12)
+RUNNING = "off bigint, key string, storeId string, productId string, windowStart bigint, seq bigint, delta bigint, deltaQty bigint, sumAmount bigint, sumQty bigint"
 
 
 def running_outputs(enriched: DataFrame, seconds: int | None = None, initial: DataFrame | None = None) -> DataFrame:
     """One output for each record of a stream with `off`, in the order of off within each batch; `initial` is a snapshot's state."""
-    ready = O.keyed(enriched, seconds).select("key", "off", "price", "qty")
+    ready = O.keyed(enriched, seconds).select("key", "off", *GROUP, "price", "qty")
     start = initial.groupBy("key") if initial is not None else None
     return ready.groupBy("key").transformWithStateInPandas(Running(), RUNNING, "Update", "None", start)
 

@@ -6,6 +6,7 @@ import json
 import threading
 import time
 from collections import defaultdict
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -62,6 +63,28 @@ def health() -> str:
     return json.dumps({"status": "ok"})
 
 
+def serve(registry: Registry, address: str) -> ThreadingHTTPServer:
+    """Serves /metrics and /healthz at host:port (an empty host: all; port 0: any free one) in a thread; `server_close` ends it."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            found = {"/metrics": ("text/plain; version=0.0.4", registry.text), "/healthz": ("application/json", health)}.get(self.path.split("?")[0])
+            kind, body = (found[0], found[1]().encode()) if found else ("text/plain", b"not found\n")
+            self.send_response(200 if found else 404)
+            self.send_header("Content-Type", kind)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_) -> None:
+            pass
+
+    host, _, port = address.rpartition(":")
+    server = ThreadingHTTPServer((host, int(port)), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server
+
+
 def offsets_behind(latest: str | None, end: str | None) -> dict[tuple[str, str], int]:
     """(topic, partition) to records behind, from a source's offsets as JSON; other sources have none."""
     try:
@@ -101,10 +124,10 @@ class Listener(StreamingQueryListener):
 
 
 def recovered(registry: Registry, counts, seconds: float, created: int, head: int | None = None, size: int | None = None, now: float | None = None) -> None:
-    """What one recovery tells: counts has applied, skipped and lastOffset."""
-    registry.add("opb_replay_applied_total", counts["applied"])
-    registry.add("opb_replay_skipped_total", counts["skipped"])
-    registry.add("opb_replay_bytes_total", size or 0)
+    """What one recovery tells, its counts being those of that run: a later one that reads the same records again doesn't count them twice."""
+    registry.set("opb_replay_applied_total", counts["applied"])
+    registry.set("opb_replay_skipped_total", counts["skipped"])
+    registry.set("opb_replay_bytes_total", size or 0)
     registry.set("opb_recovery_ttr_seconds", seconds)
     registry.set("opb_last_manifest_age_seconds", max(0.0, (now or time.time()) - created))
     if head is not None:

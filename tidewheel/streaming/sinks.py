@@ -39,8 +39,3 @@ def read_upserts(spark: SparkSession, path: str, keys: list[str], rank: list[str
     rest = [c for c in rows.columns if c not in keys and c != "epoch"]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*rank, "epoch")).alias("_r"))
     return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
-
-
-def console(query_name: str) -> Write:
-    """Prints a few rows of each batch."""
-    return lambda batch: print(f"{query_name}\n" + batch._show_string(20, False))
