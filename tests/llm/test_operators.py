@@ -201,10 +201,10 @@ def test_classifiers_on_awkward_rows(spark, awkward, empty, op):
 
 
 def brute_top_k(rows, k):
-    ok = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, [(Fraction(float(x)) * 64).__floor__() for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, v in sorted({i: v for i, v in ok if i % 20 == 0}.items()):
-        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q and len(w) == len(v))[:k]
+        best = sorted((-min(max(sum(a * b for a, b in zip(v, w)), -(2**63)), 2**63 - 1), i) for i, w in ok if i != q and len(w) == len(v))[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return out
 
@@ -216,9 +216,9 @@ def test_top_k(spark, monkeypatch):
     rows = [(i, [float(x) for x in rng.normal(size=40).astype(np.float32)]) for i in range(300)]
     rows += [(400 + i, rows[3][1]) for i in range(60)]  # ties
     rows += [(500, None), (501, []), (520, [float("nan")] * 40), (521, [None] * 40), (None, rows[0][1]), (540, [1.0, 2.0]), (541, [3.0, 4.0]), (560, [1e15] * 40)]
+    rows += [(580, [1e15, 1.0] + [0.5] * 38), (581, [-1e300, 2.0] + [0.25] * 38), (583, [3e6 + i / 7 for i in range(40)]), (600, [-2e6 + i / 3 for i in range(40)]), (601, [3e6 + i / 7 + 1 / 64 for i in range(40)]), (602, [1.7e308] * 40)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
     got = topk.top_k(df, df.where("vec_id % 20 = 0")).collect()
-    rows = [r for r in rows if r[0] != 560]
     assert sorted(map(tuple, got)) == brute_top_k(rows, 20)
     assert topk.top_k(df.limit(0), df).count() == topk.top_k(df, df.limit(0)).count() == 0
 
@@ -409,6 +409,8 @@ def test_embedding_links(spark, monkeypatch, most):
     got = {tuple(r) for r in embed_dedup.near_duplicates(df).collect()}
     assert len(want - got) <= 2 and sum(x[1] for x in want) > 200
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.999, 0.001], 0), (3, [0.001, 0.999], 0)], df.schema)
+    assert sorted(map(tuple, embed_dedup.near_duplicates(twice).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
     strange = df.limit(2).union(spark.createDataFrame([(None, rows[0][1], 0), (0, rows[0][1], 0)], df.schema))
     assert embed_dedup.near_duplicates(strange).count() == 4
 

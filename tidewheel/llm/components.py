@@ -53,3 +53,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (node, least, ...) with the least `least` of their components, of edges (a, b) between nodes, as `least`."""
+    found = components(edges)
+    met = found.join(nodes.select("node", "least"), "node")
+    roots = cut(met.groupBy("component").agg(F.min("least").alias("_least")))
+    known = cut(found.join(roots, "component").select("node", "_least"))
+    return nodes.join(known, "node", "left").withColumn("least", F.coalesce("_least", "least")).drop("_least")

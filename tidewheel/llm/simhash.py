@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import cut
-from tidewheel.llm.components import components
+from tidewheel.llm.components import classes
 from tidewheel.llm.shards import deal, groups, roots
 
 BITS = 64
@@ -187,19 +187,10 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     trees = [(0, mask) for mask in layout(nodes.count(), radius)]
     members = nodes.select("fp", "node").mapInArrow(lambda it: _members(it, trees), _MEMBERS + "bigint")
     edges = deal(members, "fp").select("shard", "lo", "hi", "chunk", "fp", "node").mapInArrow(lambda it: _compare(it, radius), "a bigint, b bigint")
-    out = fps.join(_classes(nodes, edges).select("fp", "least"), "fp", "left")
+    out = fps.join(classes(nodes, edges).select("fp", "least"), "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes (node, least, ...) with the least `least` of their components, of edges (a, b) between nodes, as `least`."""
-    found = components(edges)
-    met = found.join(nodes.select("node", "least"), "node")
-    roots = cut(met.groupBy("component").agg(F.min("least").alias("_least")))
-    known = cut(found.join(roots, "component").select("node", "_least"))
-    return nodes.join(known, "node", "left").withColumn("least", F.coalesce("_least", "least")).drop("_least")
-
-
 _MEMBERS = "shard bigint, node bigint, fp "
 
 
@@ -437,8 +428,8 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: i
     sets = texts.join(wanted, "k", "left_semi").dropDuplicates(["k"]).select("text").mapInArrow(whole, "node bigint, z binary").dropDuplicates(["node"])
     dealt = met.join(sets, "node").repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi")
     ties = dealt.select("shard", "lo", "hi", "chunk", "node", "fp", "z").mapInArrow(lambda it: _verified(it, trees, radius, similarity), "a bigint, b bigint")
-    classes = _classes(nodes.select("node", "least"), ties).select("node", F.col("least.doc_id").alias("component_id"), F.col("least.k").alias("stands"))
-    return fps.select("doc_id", "k", "node").join(classes, "node", "left").select("doc_id", "k", "component_id", (F.col("k") == F.col("stands")).alias("kept"))
+    groups_ = classes(nodes.select("node", "least"), ties).select("node", F.col("least.doc_id").alias("component_id"), F.col("least.k").alias("stands"))
+    return fps.select("doc_id", "k", "node").join(groups_, "node", "left").select("doc_id", "k", "component_id", (F.col("k") == F.col("stands")).alias("kept"))
 
 
 def row_key():
