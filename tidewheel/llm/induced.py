@@ -11,6 +11,7 @@ least common prefix between the suffixes that they came from, which the queue's
 The minima are sorted the same way: a first induction sorts the substrings between them, whose
 places among one another are their names; the text of names, at most half as long, is sorted
 recursively, by this very procedure, until all names differ or names are as long as asked.
+The recursion's base is a text of names so short that doubling their ranks in memory does it.
 
 Text, queues, names and every other array as long as the text are in memory up to `memory`
 bytes each and lie in unnamed files of the task beyond that, so a text can be far larger than
@@ -29,6 +30,8 @@ MEMORY = 32 << 20
 BLOCK = 1 << 17
 #: Tuples of a range of characters, about, of a large alphabet; a character of a small one is a range of its own.
 RANGE, SMALL = 8192, 1024
+#: Bytes for each name in the recursion's base, about; it is taken where they fit into the memory given.
+BASE = 24
 #: Highest common-prefix value; a higher one stands for substrings equal to their ends.
 MOST, EQUAL = 254, 255
 
@@ -287,11 +290,11 @@ class Sweep:
         left = p[at] - 1
         mine = np.asarray(self.t.small[left]) == self.down
         at, left = at[mine], left[mine]
-        target = self.t.text[left].astype(np.int64)
+        target = self.t.text[left]
         tail = int(changes[-1]) if len(changes) else 0  # from where on the last character's tuples are
         if len(at):
             order = np.argsort(target, kind="stable")
-            target, at, left = target[order], at[order], left[order]
+            target, at, left = target[order].astype(np.int64), at[order], left[order]
             first = np.concatenate([[True], target[1:] != target[:-1]])
             value = np.zeros(len(at), np.uint8)
             again = np.flatnonzero(~first)
@@ -311,14 +314,20 @@ class Sweep:
             suffix = np.minimum.accumulate(common[::-1])[::-1]
             self.low[target[final]] = np.append(suffix, EQUAL)[at[final] + 1]
             self.step[target[final]] = self.now
-            self.touched = np.union1d(self.touched, target[final])
-            bucket = np.searchsorted(self.starts, target, "right") - 1
-            # Within a range of characters tuples keep the order of their turns, which the sort by character has undone.
-            turn = np.lexsort((at, bucket))
-            bucket, left, value = bucket[turn], left[turn], value[turn]
-            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)]):
-                self.queue.put(int(bucket[a]), left[a:b].astype(self.t.kind), value[a:b])
+            self.touched = np.union1d(self.touched, target[final]) if len(self.touched) else target[final]
+            if self.t.letters <= SMALL:
+                edges = np.flatnonzero(first)
+                bucket = target
+            else:
+                bucket = np.searchsorted(self.starts, target, "right") - 1
+                # Within a range of characters tuples keep the order of their turns, which the sort by character has undone.
+                turn = np.lexsort((at, bucket))
+                bucket, left, value = bucket[turn], left[turn], value[turn]
+                edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            left = left.astype(self.t.kind, copy=False)
+            which = bucket[edges] if self.t.letters > SMALL else np.searchsorted(self.starts, bucket[edges])
+            for r, a, b in zip(which.tolist(), edges.tolist(), [*edges[1:].tolist(), len(bucket)]):
+                self.queue.put(r, left[a:b], value[a:b])
 
 
 def _induce(text: Text, seeds: np.ndarray, common: np.ndarray, whole: bool) -> tuple[Sweep, Sweep]:
@@ -435,6 +444,8 @@ def _sorted_minima(text: Text, reach: int) -> tuple[np.ndarray, np.ndarray]:
     if name == m - 1 or reach < 2:  # all names differ, or nothing beyond them is asked
         nth = order
         child = np.where(np.asarray(between) == EQUAL, 1, 0) if name < m - 1 else None
+    elif BASE * m <= memory:
+        nth, child = _doubled(np.asarray(names), reach // 2 + 1)
     else:
         nth, child = room(m, text.kind, memory), room(m, np.uint8, memory)
         done = 0
@@ -467,6 +478,33 @@ def _sorted_minima(text: Text, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return found, common
 
 
+def _doubled(names: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a short text of names in order (those that agree in more than `deep` names in any), and common prefixes in names, by ranks of 1, 2, 4 ... names."""
+    ranks, width = [names.astype(np.int64)], 1
+    while True:
+        rank = ranks[-1]
+        ahead = np.zeros(len(rank), np.int64)
+        ahead[: len(rank) - width] = rank[width:] + 1
+        pair = rank * (int(rank.max()) + 2) + ahead
+        order = np.argsort(pair, kind="stable")
+        turned = pair[order]
+        new = np.concatenate([[0], np.cumsum(turned[1:] != turned[:-1])])
+        width *= 2
+        if new[-1] == len(new) - 1 or width > deep:
+            break
+        rank = np.empty_like(new)
+        rank[order] = new
+        ranks.append(rank)
+    common = np.zeros(len(order), np.int64)
+    a, b, h = order[:-1], order[1:], common[1:]
+    for rank in reversed(ranks):
+        width //= 2
+        x, y = a + h, b + h
+        inside = np.flatnonzero(np.maximum(x, y) < len(rank))
+        h[inside] += width * (rank[x[inside]] == rank[y[inside]])
+    return order, np.minimum(common, MOST).astype(np.uint8)
+
+
 class _Ranges:
     """Least values of ranges of names: minima of runs of doubling length, each as long an array as the names."""
 
