@@ -223,6 +223,20 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0), df).count() == topk.top_k(df, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 20])
+def test_top_k_in_rounds(spark, monkeypatch, k):
+    monkeypatch.setattr(topk, "CANDIDATES", 4)
+    monkeypatch.setattr(topk, "GROUP", 4)
+    monkeypatch.setattr(topk, "ROUND", 2)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=36).astype(np.float32)]) for i in range(150)]
+    rows += [(200 + i, rows[i % 7][1]) for i in range(60)] + [(i, rows[5][1]) for i in range(7, 12)]  # ties and repeated ids
+    rows += [(300, [1e9 * x for x in rows[3][1]]), (301, [-2e9 * x for x in rows[4][1]]), (302, [4e16] * 36), (320, [0.0] * 36)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, topk.top_k(df, df.where("vec_id % 20 = 0"), k).collect())) == brute_top_k(rows, k)
+
+
 def test_top_k_sql(spark, sf_dir):
     check(spark, sf_dir, queries.op3_exact_top_k, queries.OP3_SQL)
 

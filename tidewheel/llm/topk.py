@@ -24,6 +24,8 @@ from tidewheel.llm.vectors import matrices
 CANDIDATES, QUERIES, DIMENSIONS = 4096, 512, 16
 #: Candidates of a group, which one worker holds at a time; small inputs make so many groups that all cores are busy.
 GROUP, LEAST_GROUPS = 65536, 24
+#: Groups that have been searched when a round ends, as a multiple of those when it began.
+ROUND = 8
 _BLOCK = "dim int, n int, key bigint, form string, ids binary, data binary"
 _EXACT = float(2**53)
 #: What a score can be; products beyond are given as these.
@@ -136,9 +138,14 @@ def _clipped(score: np.ndarray) -> np.ndarray:
     return np.array([min(max(s, _LOWEST), _HIGHEST) for s in score.tolist()], dtype=np.int64)
 
 
-def _search(q: _Block, group: list[_Block], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, candidate ids, scores): the k best of a group of candidate blocks for each query of a block."""
-    bar = np.full(len(q.ids), -np.inf)  # of each query: its k-th best so far, a little lowered
+def _lowered(score: np.ndarray) -> np.ndarray:
+    """Not above the whole numbers that were rounded to these."""
+    return np.where(np.isinf(score), score, score - np.abs(score) * 2.0**-52)
+
+
+def _search(q: _Block, group: list[_Block], k: int, known: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, candidate ids, scores): the k best of a group of candidate blocks for each query of a block, if they reach the k-th best known by query id."""
+    bar = _lowered(np.array([known.get(x, -np.inf) for x in q.ids.tolist()], dtype=np.float64))  # of each query: its k-th best so far
     best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # query's place, candidate, score
     for c in group:
         i, j, score = _candidates(q, c, bar, k)
@@ -148,8 +155,7 @@ def _search(q: _Block, group: list[_Block], k: int) -> tuple[np.ndarray, np.ndar
         rank = np.arange(len(order)) - np.searchsorted(best[0], best[0])
         best = [b[rank < k] for b in best]
         last = np.flatnonzero(rank[rank < k] == k - 1)
-        low = best[2][last].astype(np.float64)
-        bar[best[0][last]] = low - np.abs(low) * 2.0**-52
+        bar[best[0][last]] = np.maximum(bar[best[0][last]], _lowered(best[2][last].astype(np.float64)))
     return q.ids[best[0]], best[1], best[2]
 
 
@@ -158,14 +164,22 @@ def _run(batches: Iterator[pa.RecordBatch], k: int, scale: float) -> Iterator[pa
     now, group = None, []
     for batch in batches:
         for r in range(batch.num_rows):
-            side, dim, g, form, ids, data = (batch.column(c)[r].as_py() for c in ("side", "dim", "g", "form", "ids", "data"))
+            side, dim, g, form, ids, data, bars = (batch.column(c)[r].as_py() for c in ("side", "dim", "g", "form", "ids", "data", "bars"))
             if (dim, g) != now:
                 now, group = (dim, g), []
             block = _Block(data, ids, dim, form, scale) if side == 0 or group else None
             if side == 0:
                 group.append(block)
             elif group:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _search(block, group, k)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _search(block, group, k, {x["query_id"]: x["bar"] for x in bars or []})], names=["query_id", "vec_id", "score"])
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, query_id): which queries a block holds."""
+    for batch in batches:
+        for block, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            names = np.unique(np.frombuffer(ids, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block)), pa.array(names)], names=["block", "query_id"])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0) -> DataFrame:
@@ -183,9 +197,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     Candidates are packed into blocks, in the narrowest whole type (a byte for components
     between -2 and 2 at a scale of 64), blocks dealt to groups of at most about GROUP
     vectors; each block of queries is sent to every group, once. A worker holds one group
-    and one block of queries. It returns k rows for each query and group. Vectors with a
-    component of 2 ** 53 or more after scaling are compared in whole numbers of any size,
-    hundreds of times as slowly.
+    and one block of queries. The groups are searched in rounds, each of which multiplies
+    the number of those done by ROUND: a query goes to a round with its k-th best score so
+    far, so that from the first block on only what can reach it is compared to the end and
+    returned (about ROUND * k rows a query and round, however many groups there are).
+    Vectors with a component of 2 ** 53 or more after scaling are compared in whole numbers
+    of any size, hundreds of times as slowly.
     """
 
     def packed(df: DataFrame, size: int) -> DataFrame:
@@ -195,8 +212,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     counted = blocks.agg(F.count("*"), F.sum("n")).first()
     number = max(1, -(-(counted[1] or 0) // GROUP), min(counted[0], LEAST_GROUPS))
     candidates = blocks.select(F.lit(0).alias("side"), "dim", F.pmod(F.xxhash64("key", "ids"), F.lit(number)).alias("g"), "form", "ids", "data")
-    asked = packed(queries, QUERIES).select(F.lit(1).alias("side"), "dim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(number - 1).cast("bigint"))).alias("g"), "form", "ids", "data")
-    met = candidates.union(asked).repartition("dim", "g").sortWithinPartitions("dim", "g", "side")
-    found = met.mapInArrow(lambda it: _run(it, k, scale), "query_id bigint, vec_id bigint, score bigint")
+    asked = cut(packed(queries, QUERIES).withColumn("block", F.monotonically_increasing_id()))
+    holds = asked.select("block", "ids").mapInArrow(_members, "block bigint, query_id bigint")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    none = F.lit(None).cast("array<struct<query_id: bigint, bar: bigint>>")
+    best, done = None, 0
+    while done < number:
+        upto = min(number, max(1, done * ROUND))
+        sent = asked.withColumn("bars", none)
+        if best is not None:
+            reached = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+            bars = holds.join(reached, "query_id").groupBy("block").agg(F.collect_list(F.struct("query_id", "bar")).alias("bars"))
+            sent = asked.join(bars, "block", "left")
+        sent = sent.select(F.lit(1).alias("side"), "dim", F.explode(F.sequence(F.lit(done).cast("bigint"), F.lit(upto - 1).cast("bigint"))).alias("g"), "form", "ids", "data", "bars")
+        met = candidates.where(F.col("g").between(done, upto - 1)).withColumn("bars", none).union(sent)
+        met = met.repartition("dim", "g").sortWithinPartitions("dim", "g", "side")
+        found = met.mapInArrow(lambda it: _run(it, k, scale), "query_id bigint, vec_id bigint, score bigint")
+        found = found if best is None else best.select("query_id", "vec_id", "score").union(found)
+        best, done = found.withColumn("rank", place).where(F.col("rank") <= k), upto
+        if done < number:
+            best = cut(best)
+    return best.select("query_id", "rank", "vec_id", "score")
