@@ -7,6 +7,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -606,6 +607,21 @@ def test_repeats(spark, awkward, monkeypatch, many, held):
     assert suffix_dedup.remove_repeats(awkward).count() == awkward.count()
 
 
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_equal_cells_go_on_once(size):
+    # (kind, part, shard, doc, k, pack, length, body), as sorted
+    rows = [(0, 9, 0, 7, 1, 64, 150, None), (1, 4, 4, 5, 1, 32, 2, b"c")]
+    rows += [(2, 3, 8, doc, 1, pack, 4, b"a") for doc, pack in ((1, 16), (1, 16), (1, 48), (2, 16))]
+    rows += [(2, 3, 9, 1, 1, 16, 4, b"b"), (2, 6, 9, 0, 1, 16, 3, b"d"), (2, 6, 9, 4, 1, 16, 3, b"d")]
+    schema = pa.schema([(n, pa.binary() if n == "body" else pa.int32() if n == "kind" else pa.int64()) for n in ("kind", "part", "shard", "doc", "k", "pack", "length", "body")])
+    table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+    got = [tuple(r.values()) for b in suffix_dedup._first_cells(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    assert got == [
+        (0, 0, 7, 1, 64, 150, None), (1, 4, 5, 1, 32, 2, b"c"), (2, 8, 1, 1, 16, 4, b"a"), (0, 8, 1, 1, 48, 103, None), (0, 8, 2, 1, 16, 103, None),
+        (2, 9, 1, 1, 16, 4, b"b"), (2, 9, 0, 1, 16, 3, b"d"), (0, 9, 4, 1, 16, 102, None),
+    ]
+
+
 def test_repeats_of_the_documents_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
     assert {tuple(r) for r in queries.op10_suffix_array_dedup(spark, sf_dir).collect()} == brute_repeats(rows)

@@ -183,11 +183,17 @@ def _compressed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _PACKED)
 
 
-_PIECES = "kind int, shard bigint, doc bigint, k bigint, pack bigint, length bigint, body binary"
+_PIECES = "kind int, part bigint, shard bigint, doc bigint, k bigint, pack bigint, length bigint, body binary"
+_DEALT = "kind int, shard bigint, doc bigint, k bigint, pack bigint, length bigint, body binary"
+#: Kinds of rows: ranges to be removed, bodies to be sorted by shard, and bodies of cells, of which equal ones go on once.
+_RANGE, _BODY, _CELL = 0, 1, 2
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surroundings to be sorted (kind 1; length: how many windows start in the body), with ranges (kind 0) for cells that repeat within a batch."""
+    """Surroundings to be sorted (length: how many windows start in the body), those of frequent anchors by cells, with ranges for cells that repeat within a batch.
+
+    part says where a row goes: bodies by shard, cells by their bodies, ranges anywhere.
+    """
     open_ = zstandard.ZstdDecompressor()
     for batch in batches:
         rows, seen, gone = [], {}, []
@@ -197,23 +203,56 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pack = a["pack"]
                 place, lo, hi = pack >> 14 & 0x7FFFFFFF, pack >> 7 & 127, pack & 127
                 if not a["hot"]:
-                    rows.append((a["h"], doc, k, (place - lo) << 14, lo - hi + 1, data[place - lo : place - hi + WINDOW]))
+                    rows.append((_BODY, a["h"], a["h"], doc, k, (place - lo) << 14, lo - hi + 1, data[place - lo : place - hi + WINDOW]))
                     continue
                 for cell in range(hi // CELL, lo // CELL + 1):
                     core = data[place - cell * CELL : place - cell * CELL - CELL + 1 + WINDOW]
                     far, near = min(lo, cell * CELL + CELL - 1), max(hi, cell * CELL)
                     body = data[place - far : place - near + WINDOW]
-                    row = (xxhash.xxh64_intdigest(core, a["h"] & 0xFFFF_FFFF ^ cell) >> 1, doc, k, (place - far) << 14, far - near + 1, body)
-                    old = seen.get(key := (row[0], far, near, body))
-                    if old is None or row[1:4] < old[1:4]:
+                    shard = xxhash.xxh64_intdigest(core, a["h"] & 0xFFFF_FFFF ^ cell) >> 1
+                    row = (_CELL, xxhash.xxh64_intdigest(body, shard) >> 1, shard, doc, k, (place - far) << 14, far - near + 1, body)
+                    old = seen.get(key := (shard, body))
+                    if old is None or row[3:6] < old[3:6]:
                         seen[key] = row
                         row = old
-                    if row and row[1:4] != seen[key][1:4]:
-                        gone.append((*row[:4], row[4] - 1 + WINDOW, None))
-        rows += seen.values()
-        both = rows + gone
-        columns = [[r[i] for r in both] for i in range(6)]
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(rows) + [0] * len(gone), pa.int32()), *(pa.array(columns[i], pa.int64()) for i in range(5)), pa.array(columns[5], pa.binary())], names=["kind", "shard", "doc", "k", "pack", "length", "body"])
+                    if row and row[3:6] != seen[key][3:6]:
+                        gone.append((_RANGE, row[3] ^ row[4], 0, *row[3:6], row[6] - 1 + WINDOW, None))
+        both = [*rows, *seen.values(), *gone]
+        kinds = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in both], kind) for i, kind in enumerate(kinds)], names=["kind", "part", "shard", "doc", "k", "pack", "length", "body"])
+
+
+def _first_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sorted by kind, part, shard, doc, k, pack) without part; of equal cells the first stays and the others become ranges."""
+    before = (-1, -1, 0, 0, 0)  # the cell that is open, and its first row
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kind, part, shard, doc, k, pack, length = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+        at = np.flatnonzero(kind == _CELL)
+        stays = np.ones(len(kind), bool)
+        if len(at):
+            mine = [np.concatenate([[x], y[at]]) for x, y in zip(before, (part, shard, doc, k, pack))]
+            new = np.concatenate([[True], (mine[0][1:] != mine[0][:-1]) | (mine[1][1:] != mine[1][:-1])])
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            same = np.logical_and.reduce([x == x[lead] for x in mine[2:]])
+            kind, length = kind.copy(), length.copy()
+            again = at[~new[1:] & ~same[1:]]
+            kind[again], length[again] = _RANGE, length[again] - 1 + WINDOW
+            stays[at[~new[1:] & same[1:]]] = False  # a row met twice
+            before = tuple(int(x[lead[-1]]) for x in mine)
+        body = batch.column(7).take(pa.array(np.arange(len(kind)), mask=kind == _RANGE))
+        out = pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *(pa.array(x, pa.int64()) for x in (shard, doc, k, pack, length)), body], names=_NAMES)
+        yield out.filter(pa.array(stays))
+
+
+_NAMES = ["kind", "shard", "doc", "k", "pack", "length", "body"]
+
+
+def _ranges(doc: np.ndarray, k: np.ndarray, pack: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    n = len(doc)
+    numbers = [pa.array(np.asarray(x, dtype=np.int64)) for x in (np.zeros(n), doc, k, pack, length)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, _RANGE, np.int32)), *numbers, pa.nulls(n, pa.binary())], names=_NAMES)
 
 
 class _Rows:
@@ -245,7 +284,7 @@ class _Rows:
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges removed from a partition's shards; ranges that came with them pass.
+    """Ranges removed from a partition's shards; ranges and cells that came with them pass.
 
     The bodies make one text, with a mark between; it and its rows (doc, k, pack, windows
     that start in the body, place after the body) are in memory only up to HELD bytes.
@@ -253,9 +292,8 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     text, table, end = _Rows(np.uint16), _Rows(np.int64, 5), 0
     for batch in batches:
         kind, doc, k, pack, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4, 5))
-        known = kind == 0
-        yield _found(0, np.zeros(known.sum()), doc[known], k[known], pack[known], length[known])
-        at = np.flatnonzero(~known)
+        yield pa.RecordBatch.from_arrays(batch.columns, names=_NAMES).filter(pa.array(kind != _BODY))
+        at = np.flatnonzero(kind == _BODY)
         if not len(at):
             continue
         bodies = [b.as_py() for b in batch.column(6).take(pa.array(at))]
@@ -285,7 +323,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = flagged[np.append(np.flatnonzero(new)[1:], len(flagged)) - 1]
         mine = rows[owner[new]]
         begin = np.where(owner[new] > 0, ends[np.maximum(owner[new] - 1, 0)], 0)
-        yield _found(0, np.zeros(len(first)), mine[:, 0], mine[:, 1], mine[:, 2] + ((first - begin) << 14), last - first + WINDOW)
+        yield _ranges(mine[:, 0], mine[:, 1], mine[:, 2] + ((first - begin) << 14), last - first + WINDOW)
 
 
 def _mark(text: np.ndarray, rows: np.ndarray, ends: np.ndarray, removed: np.ndarray) -> None:
@@ -359,16 +397,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     Shuffled are five numbers for each anchor (about one in 32 bytes), the compressed
     texts twice, and the surroundings that need sorting. An anchor in very many different
-    surroundings is dealt again by the bytes that few of its windows share; repeats of
-    whole surroundings are never sorted. Nothing reaches the driver.
+    surroundings is dealt again by the bytes that few of its windows share (its cells);
+    equal cells meet first, by their bytes, and only one of them goes on to be sorted with
+    those that differ at their ends. So however many documents share a passage, a shard
+    has no more rows than there are different ends. Repeats of whole surroundings are
+    never sorted. Nothing reaches the driver.
     """
     spark = docs.sparkSession
     documents = _document(docs)
     anchored = documents.select("doc", "k", "text").where(F.length("text") >= WINDOW // 4).mapInArrow(_anchored, _ANCHORS)
     line = anchored.repartition("h").sortWithinPartitions("h", "c", "doc", "k", "pack")
-    path = f"{checkpoint_folder(spark)}/anchors"
-    line.mapInArrow(_classified, _FOUND).write.parquet(path)
-    found = spark.read.schema(_FOUND).parquet(path)
+    folder = checkpoint_folder(spark)
+    line.mapInArrow(_classified, _FOUND).write.parquet(f"{folder}/anchors")
+    found = spark.read.schema(_FOUND).parquet(f"{folder}/anchors")
     wanted = found.where("kind = 1").select("h", "doc", "k", "pack")
     many = cut(wanted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MANY))
     marked = wanted.join(many, "h", "left").select("doc", "k", F.struct("h", "pack", F.col("n").isNotNull().alias("hot")).alias("a"))
@@ -377,8 +418,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     met = of.join(packed, ["doc", "k"])
     # Sorting in memory is the faster, so shards are a fraction of a usual partition; beyond it, it goes by way of files.
     parts = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = met.select("doc", "k", "z", "of").mapInArrow(_pieces, _PIECES).repartition(parts, "shard")
-    ranges = found.where("kind = 0").select("doc", "k", "pack", "length").union(pieces.mapInArrow(_sorted, _FOUND).select("doc", "k", "pack", "length"))
+    pieces = met.select("doc", "k", "z", "of").mapInArrow(_pieces, _PIECES).repartition(parts, "part").sortWithinPartitions("kind", "part", "shard", "doc", "k", "pack")
+    # Written, as both the ranges and the cells left are read from it.
+    pieces.mapInArrow(lambda it: _sorted(_first_cells(it)), _DEALT).write.parquet(f"{folder}/pieces")
+    dealt = spark.read.schema(_DEALT).parquet(f"{folder}/pieces")
+    cells = dealt.where(F.col("kind") == _CELL).withColumn("kind", F.lit(_BODY)).repartition(parts, "shard").mapInArrow(_sorted, _DEALT)
+    known = found.where("kind = 0").union(dealt.where(F.col("kind") == _RANGE).select(F.col("kind"), F.col("shard"), "doc", "k", "pack", "length"))
+    ranges = known.select("doc", "k", "pack", "length").union(cells.select("doc", "k", "pack", "length"))
     place = F.struct(F.shiftright("pack", 14).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("start"), F.col("length").cast("int").alias("length"))
     each = ranges.select("doc", "k", place.alias("r")).groupBy("doc", "k").agg(F.collect_list("r").alias("of"))
     kind = _RESULT + (", kept binary" if with_text else "")
