@@ -108,6 +108,15 @@ def test_tokenizer_equals_the_library(ranks):
 # 2 and 5: classifiers
 
 
+def test_tokenizer_on_long_runs_and_latin_letters():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ours, library, rng = packing.Tokenizer(path, (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)), Tokenizer.from_file(path), random.Random(8)
+    texts = ["".join(chr(rng.randrange(0x250)) for _ in range(rng.randrange(80))) for _ in range(300)]
+    texts += ["".join(rng.choice(" \t\n\x85\xa0\x1c9é.'s²½") for _ in range(rng.randrange(40))) for _ in range(600)]
+    texts += [" " * 1_500_000, "a b" + "\t" * 1_500_000 + "c d", "a" * 300_000, "ends <|endoftext|> here", "один two"]
+    assert [x.tolist() for x in ours.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = labelled(spark)
     got = toxicity.classify(docs, labels).collect()

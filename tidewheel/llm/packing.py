@@ -9,6 +9,7 @@ needs padding.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 #: Distinct segments whose ids a worker remembers before it starts anew.
 REMEMBERED = 500_000
 _SIMPLE = "ɏ"
+_OTHER = re.compile(f"[^\0-{_SIMPLE}]")
 
 
 class Tokenizer:
@@ -29,9 +31,10 @@ class Tokenizer:
     characters, so the stretches between such blanks are encoded independently of their
     neighbours; a text with other white space around a blank is encoded as a whole. The
     strings of the file's added tokens become those tokens, as the library has it, unless
-    `plain` makes them ordinary text. New words are encoded together in one call: with
-    `ranks` (the same vocabulary as a tiktoken file, and its pattern) by that library, which
-    gives the same ids several times as fast.
+    `plain` makes them ordinary text. New words are encoded together in one call. With
+    `ranks` (the same vocabulary as a tiktoken file, and its pattern) that library encodes
+    them, and whole texts in Latin letters without such strings at once, in which both
+    libraries part words alike; it gives the same ids several times as fast.
     """
 
     def __init__(self, path: str, ranks: tuple[str, str] | None = None, plain: bool = False):
@@ -65,8 +68,8 @@ class Tokenizer:
     def _learn(self, words: list[str]) -> None:
         """Adds words, each to be encoded with a blank before it; characters of one or two bytes."""
         line = " " + " ".join(words)
-        if self.fast:
-            ids = self.fast.encode_to_numpy(line, disallowed_special=()).astype(np.uint32)
+        ids = self._fast_ids(line) if self.fast else None
+        if ids is not None:
             ends, lengths = np.cumsum(self.size[ids]), [len(w.encode()) + 1 for w in words]
         else:
             found = self.file.encode(line, add_special_tokens=False)
@@ -90,17 +93,35 @@ class Tokenizer:
         self.known.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out = [self._direct(t) for t in texts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._by_words([texts[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def _direct(self, text: str) -> np.ndarray | None:
+        if self.fast is None or not (text.isascii() or _OTHER.search(text) is None) or any(a in text for a in (*self.added, *self.torn)):
+            return None
+        return self._fast_ids(text)
+
+    def _fast_ids(self, text: str) -> np.ndarray | None:
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+        except ValueError:  # its pattern has no room for white space of a million characters
+            return None
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
         if self.stored > REMEMBERED:
             self._forget()
         cuts = [t.split(" ") for t in texts]
         new: set[str] = set()
         for c in cuts:
             new.update(c[1:])
-        plain = []
+        plain, added = [], [a for a in self.added if any(a in t for t in texts)]
         for w in new.difference(self.known) if len(new) > len(self.known) else [w for w in new if w not in self.known]:
-            if not w or w[0].isspace() or w[-1].isspace():
+            if not w or len(w.strip()) < len(w):
                 self.known[w] = -1  # the white space around it is one run
-            elif max(w) <= _SIMPLE and not any(a in w for a in self.added):
+            elif (w.isascii() or max(w) <= _SIMPLE) and not (added and any(a in w for a in added)):
                 plain.append(w)
             else:  # one by one: a token may end within a character, and offsets count characters
                 self._store([w], ids := self.whole(" " + w), np.array([len(ids)]))
