@@ -616,6 +616,12 @@ def test_repeats(spark, awkward, monkeypatch, many, held):
     assert suffix_dedup.remove_repeats(awkward).count() == awkward.count()
 
 
+def test_frequent_anchors_are_those_above_an_even_share(spark):
+    wanted = spark.range(10_300).select(F.when(F.col("id") < 300, F.lit(-1)).otherwise(F.col("id")).alias("h"))
+    assert suffix_dedup._frequent(wanted, 4).count() == 0  # 300 of 10,300 rows: by cells they would be several times as many
+    assert [tuple(r) for r in suffix_dedup._frequent(wanted, 400).collect()] == [(-1, 300)]
+
+
 @pytest.mark.parametrize("size", [1, 3, 100])
 def test_equal_cells_go_on_once(size):
     # (kind, part, shard, doc, k, pack, length, body), as sorted

@@ -28,7 +28,7 @@ from tidewheel.llm.anchors import WINDOW
 from tidewheel.llm.common import checkpoint_folder, cut
 from tidewheel.llm.induced import BLOCK, EQUAL, room, suffixes
 
-#: Surroundings of an anchor up to which they make one shard; more are dealt by CELL windows each, by the bytes those share.
+#: Surroundings of an anchor up to which they make one shard in any case (see `_frequent`); more are dealt by CELL windows each, by the bytes those share.
 MANY, CELL = 256, 4
 #: Bytes of a shard's text, and of each other array as long, that are held in memory; more lie in unnamed files.
 HELD = 16 << 20
@@ -386,6 +386,17 @@ def _result(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([*columns, pa.array(out[5], pa.binary())] if with_text else columns, names=[*names, "kept"] if with_text else names)
 
 
+def _frequent(wanted: DataFrame, parts: int) -> DataFrame:
+    """(h, n) of anchors in more than MANY surroundings, and in more than a partition's even share of all.
+
+    A shard up to that share at most doubles its partition. By cells its rows would be
+    several times as many and sorted in one more round, and with MANY alone the part of the
+    rows that go that way would grow with the input.
+    """
+    share = max(MANY, -(-wanted.count() // parts))
+    return cut(wanted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > share))
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) for every row of docs (doc_id, text, ...).
 
@@ -396,8 +407,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     any length that a row can hold. No rows: no rows; further columns are ignored.
 
     Shuffled are five numbers for each anchor (about one in 32 bytes), the compressed
-    texts twice, and the surroundings that need sorting. An anchor in very many different
-    surroundings is dealt again by the bytes that few of its windows share (its cells);
+    texts twice, and the surroundings that need sorting. An anchor in more different
+    surroundings than an even share of them all is dealt again by the bytes that few of its windows share (its cells);
     equal cells meet first, by their bytes, and only one of them goes on to be sorted with
     those that differ at their ends. So however many documents share a passage, a shard
     has no more rows than there are different ends. Repeats of whole surroundings are
@@ -411,13 +422,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     line.mapInArrow(_classified, _FOUND).write.parquet(f"{folder}/anchors")
     found = spark.read.schema(_FOUND).parquet(f"{folder}/anchors")
     wanted = found.where("kind = 1").select("h", "doc", "k", "pack")
-    many = cut(wanted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MANY))
+    # Sorting in memory is the faster, so shards are a fraction of a usual partition; beyond it, it goes by way of files.
+    parts = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = _frequent(wanted, parts)
     marked = wanted.join(many, "h", "left").select("doc", "k", F.struct("h", "pack", F.col("n").isNotNull().alias("hot")).alias("a"))
     of = marked.groupBy("doc", "k").agg(F.collect_list("a").alias("of"))
     packed = _compressed(documents)
     met = of.join(packed, ["doc", "k"])
-    # Sorting in memory is the faster, so shards are a fraction of a usual partition; beyond it, it goes by way of files.
-    parts = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = met.select("doc", "k", "z", "of").mapInArrow(_pieces, _PIECES).repartition(parts, "part").sortWithinPartitions("kind", "part", "shard", "doc", "k", "pack")
     # Written, as both the ranges and the cells left are read from it.
     pieces.mapInArrow(lambda it: _sorted(_first_cells(it)), _DEALT).write.parquet(f"{folder}/pieces")
