@@ -411,6 +411,54 @@ def test_line_templates_of_a_leaf_are_a_list(spark, tmp_path):
     check(spark, str(tmp_path), queries.op6_line_dedup, queries.OP6_SQL)
 
 
+def _generated(spark, what):
+    """Rows that Spark's Generate nodes of `what` have made so far, in all queries."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    executions = store.executionsList()
+    for i in range(executions.size()):
+        at = executions.apply(i).executionId()
+        nodes, metrics = store.planGraph(at).allNodes(), store.executionMetrics(at)
+        for n in (nodes.apply(k) for k in range(nodes.size())):
+            if n.name() == "Generate" and what in n.desc():
+                for m in (n.metrics().apply(k) for k in range(n.metrics().size())):
+                    if m.name() == "number of output rows" and metrics.contains(m.accumulatorId()):
+                        total += int(metrics.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_lines_that_only_begin_alike_are_not_taken_apart(spark, tmp_path):
+    rng = random.Random(21)
+    lines = [f"this is how {text(rng, 40)}" for _ in range(400)]
+    before = _generated(spark, "posexplode(t")
+    assert sum(r.n_dropped for r in line_dedup.dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()) == 0
+    assert _generated(spark, "posexplode(t") - before < 400  # each has 43 words
+    other = [text(rng, 40) for _ in range(3)]
+    lines += [f"this is how {' '.join(w + 'y' if j in odd else w for j, w in enumerate(x.split()))}" for x in other for odd in ((1, 9), (9, 30), (1, 39), (9, 30))]
+    lines += [f"that was when {' '.join(rng.choice('ab') if j % 5 else rng.choice(WORDS) + str(rng.randrange(9)) for j in range(12))}" for _ in range(500)]
+    rng.shuffle(lines)
+    spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    check(spark, str(tmp_path), queries.op6_line_dedup, queries.OP6_SQL)
+
+
+@pytest.mark.parametrize("agree,leading", [(0.8, 3), (0.5, 0), (0.3, 3), (0.8, 9)])
+def test_maskable_lines_lose_no_template(spark, agree, leading):
+    rng = random.Random(8)
+    rows = list({tuple("xyz"[: min(3, n)]) + tuple(rng.choice("abcdefgh") for _ in range(n - 3)) for n in (4, 5, 6, 11) for _ in range(60)})
+    weights = [rng.choice((1, 1, 2, 4)) for _ in rows]
+    rest = spark.createDataFrame([(len(t), i, i, n, list(t)) for i, (t, n) in enumerate(zip(rows, weights))], "leaf bigint, line bigint, line2 bigint, n bigint, t array<string>")
+    got = {r.line for r in line_dedup._maskable(rest, leading, agree, 3).collect()}
+    counts, shapes = defaultdict(int), defaultdict(list)
+    for t, n in zip(rows, weights):
+        for j, w in enumerate(t):
+            counts[len(t), j, w] += n
+    for i, t in enumerate(rows):
+        shape = tuple("" if j >= leading and counts[len(t), j, w] < 3 else w for j, w in enumerate(t))
+        if "" in shape and len(t) - shape.count("") >= agree * len(t):
+            shapes[shape].append(i)
+    wanted = {i for v in shapes.values() if sum(weights[i] for i in v) >= 3 for i in v}
+    assert wanted <= got
+
+
 # 7: embeddings
 
 
